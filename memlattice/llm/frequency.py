@@ -26,7 +26,7 @@ _PARTIAL = "scope string, term string, occurrences bigint, records bigint"
 def _whole_records(df: DataFrame, record: list[str], terms: str, arrived: str | None, scope: Column) -> DataFrame:
     """scope, terms of one row per record: the last delivery, or the greatest array where deliveries carry no time."""
     newest = F.struct(*([F.col(arrived).alias("_t")] if arrived else []), F.col(terms).alias("_v"))
-    return df.select(*[F.col(c).alias(f"_r{i}") for i, c in enumerate(record)], scope.alias("_scope"), newest.alias("_n")).groupBy(*[f"_r{i}" for i in range(len(record))]).agg(F.first("_scope").alias("scope"), F.max("_n").getField("_v").alias("terms"))
+    return df.select(*[F.col(c).alias(f"_r{i}") for i, c in enumerate(record)], scope.alias("_scope"), newest.alias("_n")).groupBy(*[f"_r{i}" for i in range(len(record))]).agg(F.first("_scope").alias("scope"), F.max("_n").getField("_v").alias("terms")).select("scope", "terms")
 
 
 def _last_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
