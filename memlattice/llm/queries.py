@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlattice.llm import frequency, packing, splitting
+from memlattice.llm import frequency, leakage, packing, splitting, truncation
 from memlattice.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,27 @@ def p6_containers(spark: SparkSession, root: str) -> DataFrame:
     return _packed(spark, root)
 
 
+def p7_pairs(spark: SparkSession, root: str) -> DataFrame:
+    found = leakage.leaked_items(table(spark, root, "documents"), "doc_id", "text", table(spark, root, "eval_items"), "item_id", "text")
+    return leakage.leaked_pairs(found, "doc_id", "item_id")
+
+
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    return p7_pairs(spark, root).select("doc_id", "item_id")
+
+
+def _truncated(spark: SparkSession, root: str) -> DataFrame:
+    return truncation.truncation(table(spark, root, "documents"), "doc_id", "text", "source")
+
+
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    return _truncated(spark, root).where("is_cut").select("doc_id")
+
+
+def p8_rates(spark: SparkSession, root: str) -> DataFrame:
+    return truncation.truncation_rates(_truncated(spark, root), "source")
+
+
 QUERIES: dict[str, Query] = {
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
@@ -69,6 +90,10 @@ QUERIES: dict[str, Query] = {
     "p4_corrected_df": p4_corrected_df,
     "p6_found": p6_found,
     "p6_containers": p6_containers,
+    "p7_found": p7_found,
+    "p7_pairs": p7_pairs,
+    "p8_found": p8_found,
+    "p8_rates": p8_rates,
 }
 
 _COUNTS = """
