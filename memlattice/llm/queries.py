@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlattice.llm import frequency, leakage, packing, splitting, truncation
+from memlattice.llm import frequency, leakage, packing, pii, splitting, truncation
 from memlattice.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,22 @@ Query = Callable[[SparkSession, str], DataFrame]
 PIECE_BYTES, PIECE_OVERLAP, CONTAINER_TOKENS = 30_000, 200, 4_096
 
 
+def p2_spans(spark: SparkSession, root: str) -> DataFrame:
+    turns = pii.find_pii(table(spark, root, "turns"), "turn", "text").select(F.lit("turns").alias("rec_table"), F.col("turn").alias("rec_key"), "pii_type", "start_pos", "end_pos")
+    claims = pii.find_pii(table(spark, root, "claims"), "ckey", "text").select(F.lit("claims").alias("rec_table"), F.col("ckey").alias("rec_key"), "pii_type", "start_pos", "end_pos")
+    return turns.unionByName(claims)
+
+
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    return p2_spans(spark, root).select("rec_table", "rec_key", "pii_type", "start_pos").distinct()
+
+
+def p2_redacted(spark: SparkSession, root: str) -> DataFrame:
+    turns = pii.redacted(table(spark, root, "turns").select(F.lit("turns").alias("rec_table"), F.col("turn").alias("rec_key"), "text"), "text")
+    claims = pii.redacted(table(spark, root, "claims").select(F.lit("claims").alias("rec_table"), F.col("ckey").alias("rec_key"), "text"), "text")
+    return turns.unionByName(claims)
+
+
 def _pieces(spark: SparkSession, root: str) -> DataFrame:
     return splitting.split_oversized(table(spark, root, "turns"), "turn", "text", PIECE_BYTES, PIECE_OVERLAP, "ingested_at")
 
@@ -83,6 +99,9 @@ def p8_rates(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "p2_found": p2_found,
+    "p2_spans": p2_spans,
+    "p2_redacted": p2_redacted,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
     "p4_found": p4_found,
