@@ -17,7 +17,7 @@ SHORT_FORMS = {
     "francesca": "fran frankie cesca",
     "gabriel": "gabe",
     "gwendolyn": "gwen wendy",
-    "heinrich": "heinz heini",
+    "heinrich": "heinz heini heiner",
     "henrietta": "hattie etta hetty",
     "ignatius": "iggy nacho ignaz",
     "isabella": "bella izzy isa",
@@ -26,7 +26,7 @@ SHORT_FORMS = {
     "katherine": "kate kathy katie kat kitty",
     "lawrence": "larry laurie lars",
     "leonardo": "leo nardo",
-    "margaret": "maggie meg peggy greta madge",
+    "margaret": "maggie meg peg peggy greta madge",
     "matilda": "tilly mattie tilda",
     "nicholas": "nick nico nicky klaus",
     "oliver": "ollie olly",
@@ -44,7 +44,7 @@ SHORT_FORMS = {
     "victoria": "vicky tori vic",
     "vincent": "vinnie vince",
     "wilhelmina": "mina willa minnie",
-    "william": "bill liam billy willy",
+    "william": "bill will liam billy willy",
     "yolanda": "yoli yola",
     "yusuf": "yus joseph",
     "zachary": "zach zack",
@@ -63,7 +63,7 @@ for _name, _short in SHORT_FORMS.items():
         FORMAL[_form] = (*FORMAL.get(_form, ()), _name)
 
 #: Short forms that are also everyday words: names only where they are written with a capital.
-EVERYDAY = frozenset("pat dot bill rob penny sandy rosie kitty bob dan meg nick cor edu dick bella rick kat quin fer gail tim sam vic ted".split())
+EVERYDAY = frozenset("pat dot peg will bill rob penny sandy rosie kitty bob dan meg nick cor edu dick bella rick kat quin fer gail tim sam vic ted".split())
 
 TITLES = ("dr", "mr", "mrs", "ms", "miss", "prof", "professor", "doctor", "sir", "madam", "rev", "herr", "frau", "señor", "señora", "sr", "sra", "mme", "mlle", "monsieur", "madame", "coach", "captain", "judge", "nurse", "uncle", "aunt")
 

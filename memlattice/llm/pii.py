@@ -267,7 +267,7 @@ class Finder:
             if m and self._surname(m.group(2), capital):
                 if capital or text[start:end] not in EVERYDAY or m.group(2) not in self._words:
                     add(start, m.end())
-            else:
+            elif capital or text[start:end] not in EVERYDAY:
                 rest.append((start, end, capital))
         for start, end, capital in rest:
             m = _BEFORE.search(text, max(0, start - 60), start)

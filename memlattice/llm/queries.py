@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlattice.llm import frequency, leakage, packing, pii, splitting, truncation
+from memlattice.llm import frequency, leakage, packing, pii, splitting, truncation, variants
 from memlattice.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,18 @@ Query = Callable[[SparkSession, str], DataFrame]
 PIECE_BYTES, PIECE_OVERLAP, CONTAINER_TOKENS = 30_000, 200, 4_096
 
 
+def _bearers(spark: SparkSession, root: str) -> DataFrame:
+    return variants.link_variants(table(spark, root, "entities"))
+
+
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    return variants.variant_pairs(_bearers(spark, root))
+
+
+def p1_bearers(spark: SparkSession, root: str) -> DataFrame:
+    return variants.canonical_entities(table(spark, root, "entities"), _bearers(spark, root))
+
+
 def p2_spans(spark: SparkSession, root: str) -> DataFrame:
     turns = pii.find_pii(table(spark, root, "turns"), "turn", "text").select(F.lit("turns").alias("rec_table"), F.col("turn").alias("rec_key"), "pii_type", "start_pos", "end_pos")
     claims = pii.find_pii(table(spark, root, "claims"), "ckey", "text").select(F.lit("claims").alias("rec_table"), F.col("ckey").alias("rec_key"), "pii_type", "start_pos", "end_pos")
@@ -99,6 +111,8 @@ def p8_rates(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "p1_found": p1_found,
+    "p1_bearers": p1_bearers,
     "p2_found": p2_found,
     "p2_spans": p2_spans,
     "p2_redacted": p2_redacted,
