@@ -86,8 +86,7 @@ def term_frequencies(df: DataFrame, record: list[str], terms: str, arrived: str
         totals = size.groupBy(F.col(scope).alias("_s")).agg(F.count("*").alias("total_records"))
         joined = sums.join(totals, F.col("scope").eqNullSafe(F.col("_s")), "left").drop("_s")
         return joined.select(F.col("scope").alias(scope), "term", "occurrences", "records", "total_records")
-    total = size.agg(F.count("*").alias("total_records"))
-    return sums.crossJoin(F.broadcast(total)).select("term", "occurrences", "records", "total_records")
+    return sums.select("term", "occurrences", "records", F.lit(size.count()).alias("total_records"))
 
 
 def mark_unusable(counts: DataFrame, rare: int = 2, common_share: float = 0.05) -> DataFrame:
