@@ -42,29 +42,18 @@ BLOCK_WORDS = 500_000
 _BROKEN = re.compile(r"(?<=\w)[-\u00ad\u2010\u2011][ \t]*\r?\n[ \t]*(?:[>|][ \t]*)*(?=\w)")
 
 
-def _plain_table() -> dict[int, str | None]:
+class _PlainTable(dict):
     """Letters without accents in lower case, hyphens and invisible marks gone, everything else a space."""
-    table: dict[int, str | None] = {}
-    for point in range(0x3000):
-        char = chr(point)
-        base = unicodedata.normalize("NFKD", char)
-        kept = "".join(c for c in base if c.isalnum()).lower()
-        if kept:
-            table[point] = kept
-        elif unicodedata.category(char) in ("Cf", "Mn", "Me") or char in "-‐‑'’":
-            table[point] = None
-        else:
-            table[point] = " "
-    for point in (0xFEFF, 0xFE0F, 0xFE0E):
-        table[point] = None
-    for point in range(0xFF01, 0xFF5F):
-        table[point] = table[point - 0xFEE0]
-    return table
 
-
-_PLAIN = _plain_table()
+    def __missing__(self, point: int) -> str | None:
+        char = chr(point)
+        kept = "".join(c for c in unicodedata.normalize("NFKD", char) if c.isalnum()).lower()
+        gone = unicodedata.category(char) in ("Cf", "Mn", "Me") or char in "-‐‑'’"
+        self[point] = kept or (None if gone else " ")
+        return self[point]
 
 
+_PLAIN = _PlainTable()
 #: The same for texts of one byte a character; those with a character that becomes several go the longer way.
 _BYTES = bytes(ord(m) if (m := _PLAIN[c] or " ") and len(m) == 1 and ord(m) < 256 else 32 for c in range(256))
 _GONE = bytes(c for c in range(256) if _PLAIN[c] is None)
@@ -81,7 +70,7 @@ def plain_words(text: str) -> list[str]:
     except UnicodeEncodeError:
         raw = None
     if raw is None:
-        return _BROKEN.sub("", unicodedata.normalize("NFC", text)).translate(_PLAIN).lower().split()
+        return _BROKEN.sub("", unicodedata.normalize("NFC", text)).translate(_PLAIN).split()
     if any(map(text.__contains__, _MAY_BREAK)):
         raw = _BROKEN.sub("", text).encode("latin-1")
     return raw.translate(_BYTES, _GONE).decode("latin-1").split()
@@ -296,8 +285,11 @@ def leaked_items(docs: DataFrame, key: str, text: str, items: DataFrame, item_ke
             block, size = [], 0
         block.append((row["k"], row["t"]))
         size += words
-    if block or result is None:
+    if block:
         add(block)
+    if result is None:
+        kind = docs.schema[key].dataType.simpleString()
+        return docs.sparkSession.createDataFrame([], f"{key} {kind}, {item_key} {item_type}, passage_words int, score int")
     return result
 
 

@@ -88,10 +88,13 @@ def name_forms(name: str) -> list[tuple[str, str, str, str]]:
     text = folded(bare)
     head, comma, tail = text.partition(",")
     if comma and tail.strip().strip(".") not in LEGAL_FORMS:
-        text = f"{tail} {head}"
-    words = _PIECES.findall(text.replace("'s ", "s ").replace("'", ""))
-    while words and words[0] in _TITLES:
-        words = words[1:]
+        text = f"{tail},{head}"
+    words = []
+    for part in text.split(","):
+        pieces = _PIECES.findall(part.replace("'", ""))
+        while pieces and pieces[0] in _TITLES:
+            pieces = pieces[1:]
+        words += pieces
     if len(words) < 2:
         return []
     if "the" in words[1:]:
@@ -193,7 +196,10 @@ def _class_links(forms: DataFrame) -> DataFrame:
     # letters stand for the one organisation of the user that they abbreviate
     short = F.array_join(F.transform(F.filter(F.split("key", " "), lambda w: ~w.isin(*_SMALL)), lambda w: F.substring(w, 1, 1)), "")
     orgs = classes.where("kind = 'o'").select("uid", short.alias("key"), F.col("key").alias("_name"), F.col("rep").alias("b"))
-    letters = classes.where("kind = 'a'").select("uid", "key", F.col("rep").alias("a")).join(orgs, ["uid", "key"]).groupBy("uid", "key", "a").agg(F.min("b").alias("b"), F.count_distinct("_name").alias("n")).where("n = 1").select("a", "b")
+    # (spellings of its name within the radius of each other count as one)
+    first = orgs.groupBy("uid", "key").agg(F.min(F.struct("_name", "b")).alias("_m"))
+    apart = orgs.join(first, ["uid", "key"]).groupBy("uid", "key").agg(F.min("_m").alias("_m"), F.max(F.levenshtein("_name", F.col("_m._name"))).alias("_d"))
+    letters = classes.where("kind = 'a'").select("uid", "key", F.col("rep").alias("a")).join(apart.where(F.col("_d") <= RADIUS), ["uid", "key"]).select("a", F.col("_m.b").alias("b"))
     return rows.unionByName(whole).unionByName(by_initial).unionByName(initials).unionByName(letters).where("a <> b")
 
 
