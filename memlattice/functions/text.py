@@ -44,11 +44,19 @@ def stem(word: Column) -> Column:
     return F.when(F.length(word) <= 3, word).otherwise(F.regexp_replace(base, "^(.{3,})e$", "$1"))
 
 
-def stems(text: Column) -> Column:
-    """Stems of a text's content words, in order and with repeats; an empty array for null."""
+def content_words(text: Column) -> Column:
+    """Words of a text that are stemmed, in order and with repeats. No stem of such a word is shorter than two letters."""
     words = F.transform(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), lambda w: F.regexp_replace(w, POSSESSIVE, ""))
-    content = F.filter(words, lambda w: (F.length(w) >= 2) & ~w.isin(*STOPWORDS))
-    return F.coalesce(F.filter(F.transform(content, stem), lambda s: F.length(s) >= 2), F.array().cast("array<string>"))
+    return F.filter(words, lambda w: (F.length(w) >= 2) & ~w.isin(*STOPWORDS))
+
+
+def stems(text: Column) -> Column:
+    """Stems of a text's content words, in order and with repeats; an empty array for null.
+
+    For short texts and where order counts. For long ones explode content_words
+    and stem the column: that runs in generated code, an array's lambda doesn't.
+    """
+    return F.coalesce(F.transform(content_words(text), stem), F.array().cast("array<string>"))
 
 
 def claim_tokens(text: Column, keywords: Column, names: Column) -> Column:

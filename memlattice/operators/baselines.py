@@ -5,22 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from memlattice.functions.text import stems
+from memlattice.functions.text import content_words, stem
+from memlattice.runtime import materialize
 
 # Fixed values.
 K1, B, TOP = 1.5, 0.75, 10
 
 
-def postings(turns: DataFrame) -> DataFrame:
-    """uid, turn, session_ord, turn_idx, doc_len, stem, tf: the stems of every turn, counted within the row, so only distinct stems leave it."""
-    listed = turns.select("uid", "turn", "session_ord", "turn_idx", stems(F.col("text")).alias("_s"))
-    one = listed.withColumn("doc_len", F.size("_s")).withColumn("stem", F.explode(F.array_distinct("_s")))
-    return one.select("uid", "turn", "session_ord", "turn_idx", "doc_len", "stem", F.size(F.filter("_s", lambda s: s == F.col("stem"))).alias("tf"))
+def documents_of(turns: DataFrame) -> DataFrame:
+    """uid, turn, session_ord, turn_idx, words, doc_len: the content words of each turn."""
+    return turns.select("uid", "turn", "session_ord", "turn_idx", content_words(F.col("text")).alias("words")).withColumn("doc_len", F.size("words"))
 
 
-def corpus_stats(turns: DataFrame) -> DataFrame:
+def postings(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """uid, turn, session_ord, turn_idx, doc_len, stem, tf of the stems that are asked for (uid, stem); only those are shuffled."""
+    worded = docs.select("uid", "turn", "session_ord", "turn_idx", "doc_len", F.explode("words").alias("_w")).withColumn("stem", stem(F.col("_w"))).drop("_w")
+    return worded.join(asked, ["uid", "stem"], "left_semi").groupBy("uid", "turn", "session_ord", "turn_idx", "doc_len", "stem").agg(F.count("*").alias("tf"))
+
+
+def corpus_stats(docs: DataFrame) -> DataFrame:
     """uid, n_docs, avg_len (1 if all are empty)."""
-    stats = turns.select("uid", F.size(stems(F.col("text"))).alias("_l")).groupBy("uid").agg(F.count("*").alias("n_docs"), F.avg("_l").alias("avg_len"))
+    stats = docs.groupBy("uid").agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len"))
     return stats.withColumn("avg_len", F.when(F.col("avg_len") > 0, F.col("avg_len")).otherwise(F.lit(1.0)))
 
 
@@ -28,17 +33,18 @@ def bm25(questions: DataFrame, turns: DataFrame, k: int = TOP) -> DataFrame:
     """qid, turn, session_ord, turn_idx, score, rank: the k best turns of each question among its user's; only scores above 0.
 
     Questions' distinct stems meet postings of their user; ties go to the
-    earlier turn.
+    earlier turn. Turns are read into words once, and only postings of stems
+    that some question asks for go on.
     """
-    terms = questions.select("qid", "uid", F.explode(F.array_distinct(stems(F.col("question")))).alias("stem"))
-    asked = terms.select("uid", "stem").distinct()
-    found = postings(turns.join(questions.select("uid").distinct(), "uid", "left_semi")).join(asked, ["uid", "stem"])
-    df = found.groupBy("uid", "stem").agg(F.count_distinct("turn").alias("df"))
-    weighed = found.join(df, ["uid", "stem"]).join(corpus_stats(turns), "uid")
+    docs = materialize(documents_of(turns.join(questions.select("uid").distinct(), "uid", "left_semi")), "docs")
+    terms = materialize(questions.select("qid", "uid", F.explode(F.array_distinct(content_words(F.col("question")))).alias("_w")).select("qid", "uid", stem(F.col("_w")).alias("stem")).distinct(), "terms")
+    found = materialize(postings(docs, terms.select("uid", "stem").distinct()), "postings")
+    df = found.groupBy("uid", "stem").agg(F.count("*").alias("df"))
+    weighed = found.join(df, ["uid", "stem"]).join(corpus_stats(docs), "uid")
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
-    scored = terms.join(weighed.withColumn("_p", part), ["uid", "stem"]).groupBy("qid", "turn", "session_ord", "turn_idx").agg(F.sort_array(F.collect_list(F.struct("stem", "_p"))).alias("_all"))
-    summed = scored.select("qid", "turn", "session_ord", "turn_idx", F.round(F.aggregate("_all", F.lit(0.0), lambda a, x: a + x["_p"]), 9).alias("score")).where("score > 0")
+    scored = terms.join(weighed.withColumn("_p", part), ["uid", "stem"]).groupBy("qid", "turn", "session_ord", "turn_idx").agg(F.round(F.sum("_p"), 9).alias("score"))
+    summed = scored.where("score > 0")
     best = Window.partitionBy("qid").orderBy(F.col("score").desc(), "session_ord", "turn_idx", "turn")
     return summed.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlattice.functions.keys import evidence_hash
-from memlattice.functions.text import stems
+from memlattice.functions.text import content_words, stem, stems
 from memlattice.operators.supersession import label_as_of
 
 # Fixed values.
@@ -21,7 +21,7 @@ CLAIM = ["ckey", "session_ord", "t_event", "skey"]
 
 def anchors_of(questions: DataFrame, expansions: DataFrame | None = None) -> DataFrame:
     """qid, uid, stem: the distinct stems of each question and of its expansion terms (qid, term)."""
-    own = questions.select("qid", "uid", F.explode(F.array_distinct(stems(F.col("question")))).alias("stem"))
+    own = questions.select("qid", "uid", F.explode(F.array_distinct(content_words(F.col("question")))).alias("_w")).select("qid", "uid", stem(F.col("_w")).alias("stem")).distinct()
     if expansions is None:
         return own
     more = expansions.join(questions.select("qid", "uid"), "qid").select("qid", "uid", F.explode(stems(F.col("term"))).alias("stem"))
