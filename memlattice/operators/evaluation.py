@@ -42,8 +42,10 @@ def extraction_recall(coverage: DataFrame) -> DataFrame:
 
 def micro_recall(coverage: DataFrame, by: str) -> DataFrame:
     """by, answer_turns, covered_turns, recall: over turns, not questions; 1 where there are none; with a row ALL."""
-    sums = coverage.rollup(by).agg(F.count("*").alias("answer_turns"), F.count_if("covered").alias("covered_turns"), F.grouping(by).alias("_all"))
-    return sums.select(F.when(F.col("_all") == 1, "ALL").otherwise(F.col(by)).alias(by), "answer_turns", "covered_turns", F.coalesce(F.try_divide("covered_turns", "answer_turns"), F.lit(1.0)).alias("recall"))
+    counts = [F.count("*").alias("answer_turns"), F.count_if("covered").alias("covered_turns")]
+    each = coverage.groupBy(by).agg(*counts)
+    every = each.agg(F.coalesce(F.sum("answer_turns"), F.lit(0)).alias("answer_turns"), F.coalesce(F.sum("covered_turns"), F.lit(0)).alias("covered_turns")).select(F.lit("ALL").alias(by), "answer_turns", "covered_turns")
+    return each.unionByName(every).withColumn("recall", F.coalesce(F.try_divide("covered_turns", "answer_turns"), F.lit(1.0)))
 
 
 def _share(of: Column, among: Column) -> Column:
@@ -51,7 +53,7 @@ def _share(of: Column, among: Column) -> Column:
 
 
 def summaries(rows: DataFrame) -> DataFrame:
-    """question_type and the rates of an evaluation's rows, for each type and for ALL; null where nothing is counted against."""
+    """question_type and the rates of an evaluation's rows, for each type and for ALL; null where nothing is counted against. Without rows there is no report."""
     answerable = ~F.col("is_abstention")
     refused = (F.col("verdict") == "ABSENT") | F.coalesce("not_in_memory", F.lit(False))
     rolled = rows.rollup("question_type").agg(
