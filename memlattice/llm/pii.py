@@ -119,6 +119,8 @@ _BEFORE = re.compile(r"(?<![\w@.-])([^\W\d_][\w'-]*[^\W\d_]), $")
 _INITIAL = re.compile(r"(?<![\w.@'-])([A-Za-z])\. (?:[A-Za-z]\. )*([^\W\d_][\w'-]+[^\W\d_])")
 _TITLES = {t.translate(_FOLD).encode(): re.compile(rf"(?<![\w@'-]){t.translate(_FOLD)}\.? (?:[A-Za-z]\. )*([^\W\d_][\w'-]*[^\W\d_])", re.IGNORECASE) for t in TITLES}
 _SHORT_TITLES = _set("dr mr mrs ms prof")
+#: What stands before "will" where it is a name in lower case and not the verb.
+_BEFORE_WILL = re.compile(r"(?:^|[:.!?\n(]\s*|\b(?:to|with|by|for|from|and|ask|thank|an|dear|think)\s)$", re.IGNORECASE)
 _MIDDLE = re.compile(r"(?: [A-Za-z]\.)*")
 _FIRST_WORD = re.compile(r"\S+ ")
 _GIVEN = {n.encode(): re.compile(rf"(?<![\w@.'-]){n}(?![\w@-])", re.IGNORECASE) for n in FORMAL}
@@ -265,7 +267,7 @@ class Finder:
             capital = text[start].isupper()
             m = _AFTER.match(text, end)
             if m and self._surname(m.group(2), capital):
-                if capital or text[start:end] not in EVERYDAY or m.group(2) not in self._words:
+                if capital or text[start:end] != "will" or _BEFORE_WILL.search(text, max(0, start - 16), start):
                     add(start, m.end())
             elif capital or text[start:end] not in EVERYDAY:
                 rest.append((start, end, capital))
