@@ -209,21 +209,30 @@ def span_quality(spark: SparkSession, root: str) -> DataFrame:
 _KEYS = checks.sql_stems("n")
 
 
-@query(
-    f"""WITH RECURSIVE {checks.ENTITIES},
+_CANON = f"""{checks.ENTITIES},
 n AS MATERIALIZED (SELECT uid, canon, unnest(list_distinct(list_filter(list_transform([canon] || list_filter(aliases, lambda a: a IS NOT NULL), lambda n: array_to_string(list_sort({_KEYS}), ' ')), lambda k: k <> ''))) AS key FROM e),
 l AS MATERIALIZED (SELECT DISTINCT a.uid, a.canon AS a, b.canon AS b FROM n a JOIN n b USING (uid, key)),
 r AS (SELECT DISTINCT uid, canon AS a, canon AS b FROM e UNION SELECT r.uid, r.a, l.b FROM r JOIN l ON l.uid = r.uid AND l.a = r.b),
-ex AS (SELECT uid, canon, bool_or(coalesce(existing, false)) AS existing FROM e GROUP BY uid, canon)
-SELECT r.uid, r.a AS canon, coalesce(min(r.b) FILTER (ex.existing), min(r.b)) AS new_canon FROM r JOIN ex ON ex.uid = r.uid AND ex.canon = r.b GROUP BY r.uid, r.a"""
-)
+xs AS (SELECT uid, canon, bool_or(coalesce(existing, false)) AS existing FROM e GROUP BY uid, canon),
+ren AS (SELECT r.uid, r.a AS canon, coalesce(min(r.b) FILTER (xs.existing), min(r.b)) AS new_canon FROM r JOIN xs ON xs.uid = r.uid AND xs.canon = r.b GROUP BY r.uid, r.a)"""
+
+
+@query(f"WITH RECURSIVE {_CANON} SELECT uid, canon, new_canon FROM ren")
 def canon_components(spark: SparkSession, root: str) -> DataFrame:
     return canon.reconcile(_entities(spark, root))
 
 
 @query(
-    f"""WITH {checks.ENTITIES} SELECT uid, canon, array_to_string(aliases, ';') AS aliases FROM e"""
+    f"""WITH RECURSIVE {_CANON}, {checks.CLAIMS}, {checks.MENTIONS}, m AS (SELECT e.uid, e.canon, mentions.ckey FROM mentions JOIN (SELECT DISTINCT uid, ekey, canon FROM e) e USING (ekey))
+SELECT DISTINCT m.uid, coalesce(ren.new_canon, m.canon) AS canon, m.ckey FROM m LEFT JOIN ren ON ren.uid = m.uid AND ren.canon = m.canon"""
 )
+def renamed_mentions(spark: SparkSession, root: str) -> DataFrame:
+    entities = _entities(spark, root)
+    named = memory.mentions_of(_claims(spark, root)).join(entities.select("uid", "ekey", "canon").distinct(), "ekey").select("uid", "canon", "ckey")
+    return canon.rename_mentions(named, canon.reconcile(entities))
+
+
+@query(f"WITH {checks.ENTITIES} SELECT uid, canon, array_to_string(aliases, ';') AS aliases FROM e")
 def entity_aliases(spark: SparkSession, root: str) -> DataFrame:
     return _entities(spark, root).select("uid", "canon", F.array_join("aliases", ";").alias("aliases"))
 
@@ -264,6 +273,17 @@ def belief_changes(spark: SparkSession, root: str) -> DataFrame:
     return retrieval.belief_changes(read, ["uid", "ckey"], "as_of", "status")
 
 
+@query(
+    f"""WITH {checks.CLAIMS}, early AS (SELECT DISTINCT skey FROM c WHERE skey IS NOT NULL AND session_ord <= {AS_OF}), late AS (SELECT DISTINCT skey FROM c WHERE skey IS NOT NULL AND session_ord > {AS_OF})
+(SELECT 'early' AS side, skey FROM (SELECT * FROM early EXCEPT SELECT * FROM late)) UNION ALL (SELECT 'late', skey FROM (SELECT * FROM late EXCEPT SELECT * FROM early))"""
+)
+def slot_drift(spark: SparkSession, root: str) -> DataFrame:
+    """Slots that only the sessions up to AS_OF fill, and those that only later ones do."""
+    slots = _claims(spark, root).where("skey is not null").groupBy("skey").agg(F.min("session_ord").alias("lo"), F.max("session_ord").alias("hi"))
+    side = F.when(F.col("hi") <= AS_OF, "early").when(F.col("lo") > AS_OF, "late")
+    return slots.select(side.alias("side"), "skey").where("side is not null")
+
+
 # Lookups
 
 
@@ -299,12 +319,13 @@ def determinism_hash(spark: SparkSession, root: str) -> DataFrame:
     return _ask(spark, root)[1].hashes
 
 
-@query(
-    f"""WITH {checks.evidence()}, tx AS (SELECT uid, sid, turn_idx, min(text) AS text FROM t GROUP BY ALL),
+_EXCERPTS = f"""{checks.evidence()}, tx AS (SELECT uid, sid, turn_idx, min(text) AS text FROM t GROUP BY ALL),
 s AS (SELECT ev.qid, ev.position, ev.ckey, ev.status, tx.text, length(tx.text) AS n, greatest(0, least(c.cs, length(tx.text))) AS low, c.ce FROM ev JOIN c USING (ckey) JOIN tx ON tx.uid = c.uid AND tx.sid = c.sid AND tx.turn_idx = c.turn_idx),
-x AS (SELECT *, greatest(low, least(ce, n)) AS high, greatest(0, low - 300) AS b FROM s)
-SELECT qid, position, ckey, right(ckey, 8) AS id, status, substr(text, b + 1, least(n, high + 300) - b) AS excerpt, low - b AS highlight_start, least(least(n, high + 300) - b, high - b) AS highlight_end FROM x"""
-)
+x AS (SELECT *, greatest(low, least(ce, n)) AS high, greatest(0, low - 300) AS b FROM s),
+ex AS (SELECT qid, position, ckey, right(ckey, 8) AS id, status, substr(text, b + 1, least(n, high + 300) - b) AS excerpt, low - b AS highlight_start, least(least(n, high + 300) - b, high - b) AS highlight_end FROM x)"""
+
+
+@query(f"WITH {_EXCERPTS} SELECT * FROM ex")
 def excerpts(spark: SparkSession, root: str) -> DataFrame:
     return ask.hydrate(_ask(spark, root)[1].evidence, _claims(spark, root), _turns(spark, root))
 
@@ -321,6 +342,15 @@ def trajectory(spark: SparkSession, root: str) -> DataFrame:
     return retrieval.trajectory(questions, None, answers.reached, points)
 
 
+@query(
+    f"""WITH {_EXCERPTS}, b AS (SELECT qid, count(*) AS n, string_agg('[' || id || '] ' || status || chr(10) || excerpt, chr(10) || chr(10) ORDER BY position) AS body FROM ex GROUP BY qid)
+SELECT q.qid, 'QUESTION: ' || q.question || chr(10) || chr(10) || 'EXCERPTS (' || coalesce(b.n, 0) || '):' || chr(10) || chr(10) || coalesce(b.body, '') AS prompt FROM q LEFT JOIN b USING (qid)"""
+)
+def reader_prompts(spark: SparkSession, root: str) -> DataFrame:
+    questions, answers = _ask(spark, root)
+    return ask.reader_prompt(questions, ask.hydrate(answers.evidence, _claims(spark, root), _turns(spark, root)))
+
+
 # Baselines
 
 _BM25 = f"""{checks.TURNS}, {checks.QUESTIONS},
