@@ -47,9 +47,21 @@ def repeat_keys(sessions: DataFrame, order: str) -> DataFrame:
     return sessions.withColumn("repeat_key", F.when(n == 1, F.col("sid")).otherwise(F.concat_ws("#", "sid", n)))
 
 
-def hits_of(claims: DataFrame) -> DataFrame:
+def named_in(claims: DataFrame, entities: DataFrame) -> DataFrame:
+    """ckey, names: canon and aliases of the entities that each claim mentions, in the order of its mentions; claims without any are left out."""
+    there = claims.select("ckey", F.posexplode("mentions").alias("_at", "ekey")).where("ekey is not null")
+    named = there.join(entities.select("ekey", "canon", "aliases"), "ekey").select("ckey", F.struct("_at", "canon", F.concat(F.array("canon"), "aliases").alias("names")).alias("_e"))
+    return named.groupBy("ckey").agg(F.flatten(F.transform(F.sort_array(F.collect_list("_e")), lambda e: e["names"])).alias("names"))
+
+
+def tokens_of(claims: DataFrame, entities: DataFrame) -> DataFrame:
+    """uid, ckey, tokens: each claim's tokens, from its keywords, the names of the entities it mentions, and its text."""
+    return claims.select("uid", "ckey", "text", "keywords").join(named_in(claims, entities), "ckey", "left").select("uid", "ckey", claim_tokens(F.col("text"), F.col("keywords"), F.col("names")).alias("tokens"))
+
+
+def hits_of(claims: DataFrame, entities: DataFrame) -> DataFrame:
     """uid, stem, ckey: which tokens lead to which claims."""
-    return claims.select("uid", "ckey", F.explode(claim_tokens(F.col("text"), F.col("keywords"), F.array().cast("array<string>"))).alias("stem")).select("uid", "stem", "ckey")
+    return tokens_of(claims, entities).select("uid", F.explode("tokens").alias("stem"), "ckey")
 
 
 def names_of(entities: DataFrame) -> DataFrame:
@@ -89,7 +101,7 @@ def slot_positions(claims: DataFrame) -> DataFrame:
 
 def user_stats(claims: DataFrame, entities: DataFrame, turns: DataFrame, edges: DataFrame) -> DataFrame:
     """uid and eight counts of what is remembered of each user; a user without rows of a kind has 0 of it."""
-    hits, names = hits_of(claims), names_of(entities)
+    hits, names = hits_of(claims, entities), names_of(entities)
     slots = slots_of(claims)
     parts = [
         claims.groupBy("uid").agg(F.count("*").alias("claims")),

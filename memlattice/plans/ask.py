@@ -27,7 +27,7 @@ class Memory:
     @classmethod
     def of(cls, claims: DataFrame, entities: DataFrame, edges: DataFrame) -> Memory:
         """From claims, entities and edges that are clean already."""
-        hits, names = materialize(memory.hits_of(claims), "hits"), materialize(memory.names_of(entities), "names")
+        hits, names = materialize(memory.hits_of(claims, entities), "hits"), materialize(memory.names_of(entities), "names")
         return cls(claims, edges, hits, names, memory.mentions_of(claims), materialize(memory.token_df(hits, names), "df"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from memlattice import checks
 from memlattice.functions import dates, keys
-from memlattice.functions.text import claim_tokens, locate_span, stems
+from memlattice.functions.text import locate_span, stems
 from memlattice.operators import baselines, canon, evaluation, memory, retrieval, supersession, upsert
 from memlattice.operators.presence import snapshot_history
 from memlattice.operators.slot_history import slot_history
@@ -120,12 +120,13 @@ def stems_per_turn(spark: SparkSession, root: str) -> DataFrame:
 
 @query(f"WITH {checks.CLAIMS}, {checks.HITS} SELECT ckey, array_to_string(tokens, ' ') AS tokens FROM claim_tok")
 def claim_tokens_capped(spark: SparkSession, root: str) -> DataFrame:
-    return _claims(spark, root).select("ckey", F.array_join(claim_tokens(F.col("text"), F.col("keywords"), F.array().cast("array<string>")), " ").alias("tokens"))
+    return memory.tokens_of(_claims(spark, root), _entities(spark, root)).select("ckey", F.array_join("tokens", " ").alias("tokens"))
 
 
 @query(f"WITH {checks.CLAIMS}, {checks.ENTITIES}, {checks.HITS}, {checks.NAMES}, {checks.DF} SELECT uid, stem, df FROM dfs")
 def token_df(spark: SparkSession, root: str) -> DataFrame:
-    return memory.token_df(memory.hits_of(_claims(spark, root)), memory.names_of(_entities(spark, root)))
+    entities = _entities(spark, root)
+    return memory.token_df(memory.hits_of(_claims(spark, root), entities), memory.names_of(entities))
 
 
 @query(
@@ -295,7 +296,7 @@ def convergence(spark: SparkSession, root: str) -> DataFrame:
 @query(f"WITH {checks.reached()} SELECT qid, ckey, count(*) AS convergence FROM one WHERE hops = 1 GROUP BY qid, ckey")
 def one_hop_convergence(spark: SparkSession, root: str) -> DataFrame:
     questions = _questions(spark, root)
-    led = retrieval.reach(retrieval.anchors_of(questions), memory.hits_of(_claims(spark, root)), None, None, max_hops=1)
+    led = retrieval.reach(retrieval.anchors_of(questions), memory.hits_of(_claims(spark, root), _entities(spark, root)), None, None, max_hops=1)
     return led.groupBy("qid", "ckey").agg(F.count_distinct("stem").alias("convergence"))
 
 
