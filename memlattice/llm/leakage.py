@@ -162,6 +162,35 @@ def longest_passage(path: list[tuple[int, int, bool]]) -> int:
     return best
 
 
+def _onward(item: list[str], doc: list[str], i: int, j: int, since: int, side: int) -> list[tuple[int, int, bool]]:
+    """Steps from item word i and document word j to one side, `since` matches after the last altered word; they end on a match."""
+    steps = []
+    while 0 <= i < len(item) and 0 <= j < len(doc) and item[i] == doc[j]:
+        steps.append((i, j, True))
+        i, j, since = i + side, j + side, since + 1
+    best: list[tuple[int, int, bool]] = []
+    if since >= ALTERED_SPAN - 1:
+        for a, b in ((1, 1), (0, 1), (1, 0)):  # a word replaced, added, lost
+            rest = _onward(item, doc, i + side * a, j + side * b, 0, side)
+            if rest and len(rest) + a > sum(p[0] >= 0 for p in best):
+                best = [(i if a else -1, j if b else -1, False), *rest]
+    return steps + best
+
+
+def extended(path: list[tuple[int, int, bool]], item: list[str], doc: list[str]) -> list[tuple[int, int, bool]]:
+    """An alignment carried on to both sides while any ALTERED_SPAN steps hold at most one that is no match, ending on a match.
+
+    A match beyond an altered word adds nothing to the score, so the best alignment may end before both.
+    """
+    if not path:
+        return path
+    lead = next((n for n, p in enumerate(path) if not p[2]), ALTERED_SPAN)
+    before = _onward(item, doc, path[0][0] - 1, path[0][1] - 1, lead, -1)
+    path = before[::-1] + path
+    trail = next((n for n, p in enumerate(reversed(path)) if not p[2]), ALTERED_SPAN)
+    return path + _onward(item, doc, path[-1][0] + 1, path[-1][1] + 1, trail, 1)
+
+
 def _regions(places: list[int], reach: int, n: int) -> list[tuple[int, int]]:
     regions: list[list[int]] = []
     for p in sorted(places):
@@ -182,7 +211,7 @@ def passage_in(item: list[str], doc: list[str], places: list[int]) -> tuple[int,
             # the fewest matches and most alterations that a passage can have
             if score < MATCH * (PASSAGE - 3) + 3 * MISMATCH:
                 break
-            found = max(found, (longest_passage(path), score))
+            found = max(found, (longest_passage(extended(path, item, window)), score))
             if found[0] >= PASSAGE:
                 break
             for _, j, _ in path:  # look for another passage beside this one
