@@ -337,7 +337,7 @@ b AS (SELECT p.qid, p.k, max(r.convergence) AS top, len(list_distinct(flatten(li
 SELECT qid, k, CASE WHEN coalesce(resolved, 0) = 0 THEN 'A1_no_anchors' WHEN top < least(2, greatest(1, resolved)) THEN 'A2_no_convergence' ELSE 'ANSWER' END AS verdict, top AS top_convergence FROM b"""
 )
 def trajectory(spark: SparkSession, root: str) -> DataFrame:
-    """What each question would have been told as of every session of its user. The SQL lists only every fifth session; its rows are among these."""
+    """What each question would have been told as of every session of its user. The SQL lists only every fifth session."""
     questions, answers = _ask(spark, root)
     sessions = _turns(spark, root).select("uid", F.col("session_ord").alias("k")).distinct()
     points = questions.select("qid", "uid").join(sessions, "uid").select("qid", "k")

@@ -2,8 +2,9 @@ import os
 
 import duckdb
 import pytest
+from test_names import HITS
 
-from memlattice import queries
+from memlattice import checks, queries
 
 ROOT = "/root/testdata/sf0.001"
 
@@ -15,7 +16,7 @@ def test_every_session_is_a_point(spark):
         sql.execute(f"CREATE VIEW {file.split('.')[0]} AS SELECT * FROM read_parquet('{ROOT}/{file}')")
     got = [(r.qid, r.k, r.verdict, r.top_convergence) for r in queries.trajectory(spark, ROOT).collect()]
     every, fifth = "SELECT DISTINCT uid, session_ord FROM t", " WHERE x.session_ord % 5 = 0"
-    text = queries.ORACLES["trajectory"]
+    text = queries.ORACLES["trajectory"].replace(checks.HITS, HITS)
     assert every in text and fifth in text
     assert sorted(got, key=repr) == sorted(sql.execute(text.replace(fifth, "")).fetchall(), key=repr)
     kept = sql.execute(text).fetchall()
