@@ -36,7 +36,9 @@ TURNS = "t AS MATERIALIZED (SELECT turn, uid, sid, session_key, session_ord, dat
 CLAIMS = "c AS MATERIALIZED (SELECT * FROM claims QUALIFY row_number() OVER (PARTITION BY ckey ORDER BY ingested_at DESC) = 1)"
 ENTITIES = """e AS MATERIALIZED (SELECT uid, ekey, canon, min(etype) AS etype, coalesce(list_sort(list_distinct(flatten(list(coalesce(aliases, []))))), []) AS aliases, max(existing) AS existing
   FROM entities WHERE canon IS NOT NULL AND canon <> '' GROUP BY uid, ekey, canon)"""
-HITS = f"""tok AS MATERIALIZED (SELECT uid, ckey, flatten(list_transform(list_filter(coalesce(keywords, []), lambda v: v IS NOT NULL), lambda v: {sql_stems('v')})) || {sql_stems('text')} AS raw FROM c),
+HITS = f"""nm AS (SELECT ckey, flatten(list([canon] || aliases ORDER BY pos, canon)) AS names FROM (SELECT ckey, unnest(mentions) AS ekey, generate_subscripts(mentions, 1) AS pos FROM c) JOIN e USING (ekey) GROUP BY ckey),
+tok AS MATERIALIZED (SELECT uid, ckey, flatten(list_transform(list_filter(coalesce(keywords, []), lambda v: v IS NOT NULL), lambda v: {sql_stems('v')})) ||
+  flatten(list_transform(list_filter(coalesce(names, []), lambda v: v IS NOT NULL), lambda v: {sql_stems('v')})) || {sql_stems('text')} AS raw FROM (SELECT c.*, nm.names FROM c LEFT JOIN nm USING (ckey))),
 claim_tok AS MATERIALIZED (SELECT uid, ckey, ({in_order('raw')})[1:24] AS tokens FROM tok),
 hits AS MATERIALIZED (SELECT uid, unnest(tokens) AS stem, ckey FROM claim_tok)"""
 NAMES = f"names AS MATERIALIZED (SELECT DISTINCT uid, unnest(flatten(list_transform([canon] || aliases, lambda v: {sql_stems('v')}))) AS stem, ekey FROM e)"

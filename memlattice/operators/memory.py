@@ -8,20 +8,22 @@ from pyspark.sql import functions as F
 from memlattice.functions.text import claim_tokens, stems
 from memlattice.operators.slot_history import latest_delivery
 
+
 def role_of(role: Column) -> Column:
     """Whoever isn't the assistant is the user."""
     return F.when(role == "assistant", F.lit("assistant")).otherwise(F.lit("user"))
 
 
-def turns_of(deliveries: DataFrame) -> DataFrame:
-    """Each turn once, its last delivery; texts that are null are ''."""
-    once = latest_delivery(deliveries, ["turn"], "ingested_at")
-    return once.withColumn("role", role_of(F.col("role"))).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("has_answer", F.coalesce("has_answer", F.lit(False)))
+def turns_of(deliveries: DataFrame, *columns: str) -> DataFrame:
+    """Each turn once, its last delivery; texts that are null are ''. With `columns` only turn and those are read."""
+    once = latest_delivery(deliveries, ["turn"], "ingested_at", columns)
+    clean = {"role": role_of(F.col("role")), "text": F.coalesce("text", F.lit("")), "has_answer": F.coalesce("has_answer", F.lit(False))}
+    return once.withColumns({c: v for c, v in clean.items() if c in once.columns})
 
 
-def claims_of(deliveries: DataFrame) -> DataFrame:
-    """Each claim once, its last delivery."""
-    return latest_delivery(deliveries, ["ckey"], "ingested_at")
+def claims_of(deliveries: DataFrame, *columns: str) -> DataFrame:
+    """Each claim once, its last delivery. With `columns` only ckey and those are read."""
+    return latest_delivery(deliveries, ["ckey"], "ingested_at", columns)
 
 
 def entities_of(rows: DataFrame) -> DataFrame:
@@ -99,6 +101,13 @@ def slot_positions(claims: DataFrame) -> DataFrame:
     return claims.where("skey is not null and skey <> ''").select("uid", "skey", "ckey", "text", "session_ord", "t_event", "slot_value").withColumn("position", F.row_number().over(order))
 
 
+def supersessions_of(claims: DataFrame, edges: DataFrame) -> DataFrame:
+    """uid, older, newer: the edges between two claims that are there, out of those that fill a contested slot, each once; uid is the older claim's."""
+    filling = claims.select("uid", "skey", F.col("ckey").alias("older")).join(contested_slots(claims).select("skey"), "skey", "left_semi").select("uid", "older")
+    known = edges.where("older is not null and newer is not null").select("older", "newer").distinct()
+    return known.join(filling, "older").join(claims.select(F.col("ckey").alias("newer")), "newer", "left_semi").select("uid", "older", "newer")
+
+
 def user_stats(claims: DataFrame, entities: DataFrame, turns: DataFrame, edges: DataFrame) -> DataFrame:
     """uid and eight counts of what is remembered of each user; a user without rows of a kind has 0 of it."""
     hits, names = hits_of(claims, entities), names_of(entities)
@@ -109,7 +118,7 @@ def user_stats(claims: DataFrame, entities: DataFrame, turns: DataFrame, edges:
         slots.groupBy("uid").agg(F.count("*").alias("slots"), F.count_if(F.col("n_claims") >= 2).alias("contested_slots")),
         token_df(hits, names).groupBy("uid").agg(F.count("*").alias("tokens")),
         turns.groupBy("uid").agg(F.count("*").alias("turns"), F.count_distinct("session_key").alias("sessions")),
-        edges.select("uid", "older", "newer").distinct().groupBy("uid").agg(F.count("*").alias("supersessions")),
+        supersessions_of(claims, edges).groupBy("uid").agg(F.count("*").alias("supersessions")),
     ]
     counts = ["claims", "entities", "slots", "tokens", "sessions", "turns", "supersessions", "contested_slots"]
     # one shuffle: the parts, a row for each user, are stacked and summed

@@ -105,21 +105,24 @@ def hashes(questions: DataFrame, found: DataFrame) -> DataFrame:
     return questions.select("qid").join(keys, "qid", "left").select("qid", evidence_hash(F.coalesce("_k", F.array().cast("array<string>"))).alias("hash"))
 
 
-def trajectory(questions: DataFrame, anchors: DataFrame, reached: DataFrame, points: DataFrame) -> DataFrame:
-    """qid, k, verdict, best: what each question would have been told at each session k of the points (qid, k).
+def trajectory(reached: DataFrame, points: DataFrame) -> DataFrame:
+    """qid, k, verdict, top_convergence: what each question would have been told at each session k of the points (qid, k).
 
-    The claims a question reaches are folded once; a running view over sessions
-    then says for every k what had been reached, instead of asking again for
-    each. The best claim is that of the highest rank up to k.
+    The claims a question reaches are folded once: an anchor counts from the
+    first session it reaches a claim of, and one row for each session says how
+    many anchors came and how far claims converged. A running sum and maximum
+    over those rows answer for every k, instead of asking again for each.
     """
-    per_session = reached.select("qid", "session_ord", F.struct("convergence", "score", "t_event", "session_ord", F.col("ckey")).alias("c"), "anchors")
-    lines = points.select("qid", F.col("k").alias("session_ord"), F.lit(True).alias("_point"), F.lit(None).cast(per_session.schema["c"].dataType).alias("c"), F.lit(None).cast("array<string>").alias("anchors"))
-    rows = per_session.withColumn("_point", F.lit(False)).unionByName(lines)
-    upto = Window.partitionBy("qid").orderBy("session_ord").rangeBetween(Window.unboundedPreceding, 0)
-    seen = rows.withColumn("_best", F.max("c").over(upto)).withColumn("_resolved", F.size(F.array_distinct(F.flatten(F.collect_set("anchors").over(upto)))))
+    first = reached.select("qid", "session_ord", F.explode("anchors").alias("_a")).groupBy("qid", "_a").agg(F.min("session_ord").alias("k"))
+    came = first.select("qid", "k", F.lit(1).alias("_new"), F.lit(None).cast("int").alias("_top"), F.lit(False).alias("_point"))
+    tops = reached.select("qid", F.col("session_ord").alias("k"), F.lit(0).alias("_new"), F.col("convergence").alias("_top"), F.lit(False).alias("_point"))
+    asked = points.select("qid", "k", F.lit(0).alias("_new"), F.lit(None).cast("int").alias("_top"), F.lit(True).alias("_point"))
+    rows = came.unionByName(tops).unionByName(asked).groupBy("qid", "k").agg(F.sum("_new").alias("_new"), F.max("_top").alias("_top"), F.max("_point").alias("_point"))
+    upto = Window.partitionBy("qid").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    seen = rows.withColumn("_resolved", F.sum("_new").over(upto)).withColumn("top_convergence", F.max("_top").over(upto))
     threshold = F.least(F.lit(THRESHOLD), F.greatest(F.lit(1), "_resolved"))
-    verdict = F.when(F.col("_resolved") == 0, "A1_no_anchors").when(F.col("_best.convergence") < threshold, "A2_no_convergence").otherwise("ANSWER")
-    return seen.where("_point").select("qid", F.col("session_ord").alias("k"), verdict.alias("verdict"), F.col("_best.convergence").alias("top_convergence"))
+    verdict = F.when(F.col("_resolved") == 0, "A1_no_anchors").when(F.col("top_convergence") < threshold, "A2_no_convergence").otherwise("ANSWER")
+    return seen.where("_point").select("qid", "k", verdict.alias("verdict"), "top_convergence")
 
 
 def belief_changes(labels: DataFrame, by: list[str], order: str, label: str) -> DataFrame:

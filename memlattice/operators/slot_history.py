@@ -11,12 +11,15 @@ from memlattice.operators.presence import version_validity
 SUPERSEDED = "SUPERSEDED"
 
 
-def latest_delivery(df: DataFrame, key: list[str], arrived: str) -> DataFrame:
+def latest_delivery(df: DataFrame, key: list[str], arrived: str, columns: tuple[str, ...] = ()) -> DataFrame:
     """One row per key: that of the last delivery; rows that arrived together are settled by their content.
 
-    Keys with a null part are keys as well. A key's deliveries are reduced
-    map-side, never gathered.
+    With `columns` only those (and the key) are read, kept and settled by; all
+    of a row goes through the shuffle otherwise. Keys with a null part are keys
+    as well. A key's deliveries are reduced map-side, never gathered.
     """
+    if columns:
+        return latest_delivery(df.select(*dict.fromkeys([*key, *columns, arrived])), key, arrived).select(*dict.fromkeys([*key, *columns]))
     rest = [c for c in df.columns if c not in key and c != arrived]
     best = df.groupBy(*key).agg(F.max(F.struct(F.col(arrived), *[F.col(c) for c in rest])).alias("_row"))
     return best.select(*key, *[F.col("_row")[c].alias(c) for c in [*rest, arrived]]).select(*df.columns)
@@ -39,11 +42,11 @@ def candidate_edges(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def valid_edges(slots: DataFrame, edges: DataFrame) -> DataFrame:
-    """ckey (the older), newer, at_session of the edges between different claims of one slot that point forward and don't precede the older claim."""
+    """skey, ckey (the older), newer, at_session of the edges between different claims of one slot that point forward and don't precede the older claim."""
     older = slots.select(F.col("ckey").alias("older"), F.col("skey").alias("_skey"), F.col("session_ord").alias("_ord"))
     newer = slots.select(F.col("ckey").alias("newer"), F.col("skey").alias("_skey"), F.col("session_ord").alias("_new_ord"))
     known = edges.join(older, "older").where(F.col("at_session") >= F.col("_ord"))
-    return known.join(newer, ["newer", "_skey"]).where(F.col("_new_ord") >= F.col("_ord")).select(F.col("older").alias("ckey"), "newer", "at_session")
+    return known.join(newer, ["newer", "_skey"]).where(F.col("_new_ord") >= F.col("_ord")).select(F.col("_skey").alias("skey"), F.col("older").alias("ckey"), "newer", "at_session")
 
 
 def slot_history(claims: DataFrame, edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -57,7 +60,7 @@ def slot_history(claims: DataFrame, edges: DataFrame, labels: DataFrame) -> Data
     """
     slots = slot_claims(claims)
     closings = valid_edges(slots, candidate_edges(edges, labels))
-    return version_validity(slots, closings, "ckey", "session_ord", "at_session").select("skey", "ckey", F.col("session_ord").alias("valid_from"), "valid_to")
+    return version_validity(slots, closings, ["skey", "ckey"], "session_ord", "at_session").select("skey", "ckey", F.col("session_ord").alias("valid_from"), "valid_to")
 
 
 def slot_timeline(history: DataFrame) -> DataFrame:

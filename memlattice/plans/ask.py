@@ -58,11 +58,18 @@ def ask(questions: DataFrame, of: Memory, as_of: int | None = None, historical:
     return Answers(reached, verdict, cands, found, retrieval.hashes(questions, found))
 
 
-def hydrate(evidence: DataFrame, claims: DataFrame, turns: DataFrame) -> DataFrame:
-    """qid, position, ckey, id, status, excerpt, highlight_start, highlight_end: evidence with the words it was drawn from; rows whose turn is missing are dropped."""
-    spans = claims.select("ckey", "uid", "sid", "turn_idx", "cs", "ce")
-    texts = turns.groupBy("uid", "sid", "turn_idx").agg(F.min("text").alias("text"))
-    joined = evidence.select("qid", "position", "ckey", "status").join(spans, "ckey").join(texts, ["uid", "sid", "turn_idx"])
+def hydrate(evidence: DataFrame, claims: DataFrame, deliveries: DataFrame) -> DataFrame:
+    """qid, position, ckey, id, status, excerpt, highlight_start, highlight_end: evidence with the words it was drawn from; rows whose turn is missing are dropped.
+
+    deliveries are turns as they came (or as they are). Only those that some
+    evidence was drawn from are shuffled with their texts.
+    """
+    where = ["uid", "sid", "turn_idx"]
+    spans = evidence.select("qid", "position", "ckey", "status").join(claims.select("ckey", *where, "cs", "ce"), "ckey")
+    needed = spans.select(*where).distinct()
+    came = deliveries if "ingested_at" in deliveries.columns else deliveries.withColumn("ingested_at", F.lit(0))
+    texts = memory.turns_of(came.select("turn", *where, "text", "ingested_at").join(needed, where, "left_semi"), *where, "text").groupBy(*where).agg(F.min("text").alias("text"))
+    joined = spans.join(texts, where)
     return joined.select("qid", "position", "ckey", citation_id(F.col("ckey")).alias("id"), "status", excerpt(F.col("text"), F.col("cs"), F.col("ce")).alias("_e")).select("qid", "position", "ckey", "id", "status", "_e.*")
 
 

@@ -38,12 +38,17 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-def _turns(spark: SparkSession, root: str) -> DataFrame:
-    return memory.turns_of(table(spark, root, "turns"))
+def _turns(spark: SparkSession, root: str, *columns: str) -> DataFrame:
+    return memory.turns_of(table(spark, root, "turns"), *columns)
 
 
-def _claims(spark: SparkSession, root: str) -> DataFrame:
-    return memory.claims_of(table(spark, root, "claims"))
+def _claims(spark: SparkSession, root: str, *columns: str) -> DataFrame:
+    return memory.claims_of(table(spark, root, "claims"), *columns)
+
+
+def _worded(spark: SparkSession, root: str) -> DataFrame:
+    """What tokens are drawn from."""
+    return _claims(spark, root, "uid", "text", "keywords", "mentions")
 
 
 def _entities(spark: SparkSession, root: str) -> DataFrame:
@@ -54,15 +59,20 @@ def _edges(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "supersession_edges").select("uid", "older", "newer", "at_session")
 
 
+def _slotted(spark: SparkSession, root: str) -> DataFrame:
+    """What slots and chains are drawn from."""
+    return _claims(spark, root, "uid", "skey", "text", "session_ord", "t_event", "slot_value")
+
+
 def _questions(spark: SparkSession, root: str) -> DataFrame:
     """Every twentieth turn, as a question of its user."""
-    asked = _turns(spark, root).where("turn_idx % 20 = 0 and text <> ''")
+    asked = memory.turns_of(table(spark, root, "turns").where("turn_idx % 20 = 0"), "uid", "sid", "session_ord", "text").where("text <> ''")
     return asked.select(F.col("turn").alias("qid"), "uid", "sid", F.col("text").alias("question"), F.element_at(F.array(*[F.lit(k) for k in KINDS]), (F.pmod("session_ord", F.lit(len(KINDS))) + 1).cast("int")).alias("question_type"), evaluation.is_abstention(F.col("uid")).alias("is_abstention"))
 
 
 def _ask(spark: SparkSession, root: str, as_of: int | None = None) -> tuple[DataFrame, ask.Answers]:
     questions = _questions(spark, root)
-    return questions, ask.ask(questions, ask.Memory.of(_claims(spark, root), _entities(spark, root), _edges(spark, root)), as_of)
+    return questions, ask.ask(questions, ask.Memory.of(_claims(spark, root, "uid", "skey", "text", "session_ord", "t_event", "keywords", "mentions"), _entities(spark, root), _edges(spark, root)), as_of)
 
 
 # Histories
@@ -100,7 +110,7 @@ def p5_label_history(spark: SparkSession, root: str) -> DataFrame:
 
 @query(f"WITH {checks.TURNS} SELECT turn, uid, session_key, role, length(text) AS n_chars, has_answer FROM t")
 def latest_turns(spark: SparkSession, root: str) -> DataFrame:
-    return _turns(spark, root).select("turn", "uid", "session_key", "role", F.length("text").alias("n_chars"), "has_answer")
+    return _turns(spark, root, "uid", "session_key", "role", "text", "has_answer").select("turn", "uid", "session_key", "role", F.length("text").alias("n_chars"), "has_answer")
 
 
 @query(
@@ -109,24 +119,24 @@ SELECT *, row_number() OVER (PARTITION BY uid ORDER BY ts, session_key) AS clock
   CASE WHEN row_number() OVER (PARTITION BY uid, sid ORDER BY session_ord, session_key) = 1 THEN sid ELSE sid || '#' || row_number() OVER (PARTITION BY uid, sid ORDER BY session_ord, session_key) END AS repeat_key FROM s"""
 )
 def session_order(spark: SparkSession, root: str) -> DataFrame:
-    sessions = memory.sessions_of(_turns(spark, root))
+    sessions = memory.sessions_of(_turns(spark, root, "uid", "sid", "session_key", "session_ord", "date_int", "ts"))
     return memory.repeat_keys(memory.order_sessions(sessions, ["ts", "session_key"]), "session_ord")
 
 
 @query(f"WITH {checks.TURNS} SELECT turn, array_to_string({checks.sql_stems('text')}, ' ') AS stems FROM t")
 def stems_per_turn(spark: SparkSession, root: str) -> DataFrame:
-    return _turns(spark, root).select("turn", F.array_join(stems(F.col("text")), " ").alias("stems"))
+    return _turns(spark, root, "text").select("turn", F.array_join(stems(F.col("text")), " ").alias("stems"))
 
 
-@query(f"WITH {checks.CLAIMS}, {checks.HITS} SELECT ckey, array_to_string(tokens, ' ') AS tokens FROM claim_tok")
+@query(f"WITH {checks.CLAIMS}, {checks.ENTITIES}, {checks.HITS} SELECT ckey, array_to_string(tokens, ' ') AS tokens FROM claim_tok")
 def claim_tokens_capped(spark: SparkSession, root: str) -> DataFrame:
-    return memory.tokens_of(_claims(spark, root), _entities(spark, root)).select("ckey", F.array_join("tokens", " ").alias("tokens"))
+    return memory.tokens_of(_worded(spark, root), _entities(spark, root)).select("ckey", F.array_join("tokens", " ").alias("tokens"))
 
 
 @query(f"WITH {checks.CLAIMS}, {checks.ENTITIES}, {checks.HITS}, {checks.NAMES}, {checks.DF} SELECT uid, stem, df FROM dfs")
 def token_df(spark: SparkSession, root: str) -> DataFrame:
     entities = _entities(spark, root)
-    return memory.token_df(memory.hits_of(_claims(spark, root), entities), memory.names_of(entities))
+    return memory.token_df(memory.hits_of(_worded(spark, root), entities), memory.names_of(entities))
 
 
 @query(
@@ -135,34 +145,34 @@ def token_df(spark: SparkSession, root: str) -> DataFrame:
 )
 def claim_ids(spark: SparkSession, root: str) -> DataFrame:
     digest = keys.claim_digest(F.col("text"), F.col("sid"), F.col("turn_idx"), F.col("cs"), F.col("ce"))
-    return _claims(spark, root).select("ckey", digest.alias("digest"), keys.vertex_id(F.col("ckey")).alias("vertex"), keys.key("s", F.col("uid")).alias("probe"))
+    return _claims(spark, root, "uid", "text", "sid", "turn_idx", "cs", "ce").select("ckey", digest.alias("digest"), keys.vertex_id(F.col("ckey")).alias("vertex"), keys.key("s", F.col("uid")).alias("probe"))
 
 
 @query(f"WITH {checks.CLAIMS} SELECT uid, skey, count(*) AS n_claims FROM c WHERE skey IS NOT NULL AND skey <> '' GROUP BY uid, skey HAVING count(*) >= 2")
 def contested_slots(spark: SparkSession, root: str) -> DataFrame:
-    return memory.contested_slots(_claims(spark, root))
+    return memory.contested_slots(_claims(spark, root, "uid", "skey"))
 
 
 @query(f"WITH {checks.CLAIMS} SELECT skey, ckey, row_number() OVER (PARTITION BY skey ORDER BY session_ord, t_event, ckey) AS position FROM c WHERE skey IS NOT NULL AND skey <> ''")
 def slot_positions(spark: SparkSession, root: str) -> DataFrame:
-    return memory.slot_positions(_claims(spark, root)).select("skey", "ckey", "position")
+    return memory.slot_positions(_slotted(spark, root)).select("skey", "ckey", "position")
 
 
 @query(
     f"""WITH {checks.CLAIMS}, {checks.ENTITIES}, {checks.TURNS}, {checks.HITS}, {checks.NAMES}, {checks.DF},
 sl AS (SELECT uid, skey, count(*) AS n FROM c WHERE skey IS NOT NULL AND skey <> '' GROUP BY uid, skey),
-u AS (SELECT uid FROM c UNION SELECT uid FROM e UNION SELECT uid FROM t UNION SELECT uid FROM supersession_edges)
+u AS (SELECT uid FROM c UNION SELECT uid FROM e UNION SELECT uid FROM t)
 SELECT u.uid, (SELECT count(*) FROM c WHERE c.uid = u.uid) AS claims, (SELECT count(*) FROM e WHERE e.uid = u.uid) AS entities, (SELECT count(*) FROM sl WHERE sl.uid = u.uid) AS slots,
   (SELECT count(*) FROM dfs WHERE dfs.uid = u.uid) AS tokens, (SELECT count(DISTINCT session_key) FROM t WHERE t.uid = u.uid) AS sessions, (SELECT count(*) FROM t WHERE t.uid = u.uid) AS turns,
-  (SELECT count(*) FROM (SELECT DISTINCT uid, older, newer FROM supersession_edges) s WHERE s.uid = u.uid) AS supersessions, (SELECT count(*) FROM sl WHERE sl.uid = u.uid AND n >= 2) AS contested_slots FROM u"""
+  (SELECT count(*) FROM (SELECT DISTINCT o.uid, s.older, s.newer FROM supersession_edges s JOIN c o ON o.ckey = s.older JOIN c n ON n.ckey = s.newer JOIN sl ON sl.skey = o.skey AND sl.n >= 2) s WHERE s.uid = u.uid) AS supersessions, (SELECT count(*) FROM sl WHERE sl.uid = u.uid AND n >= 2) AS contested_slots FROM u"""
 )
 def user_stats(spark: SparkSession, root: str) -> DataFrame:
-    return memory.user_stats(_claims(spark, root), _entities(spark, root), _turns(spark, root), _edges(spark, root))
+    return memory.user_stats(_claims(spark, root, "uid", "skey", "text", "keywords", "mentions"), _entities(spark, root), _turns(spark, root, "uid", "session_key"), _edges(spark, root))
 
 
 @query(f"WITH {checks.CLAIMS} SELECT ckey FROM c WHERE starts_with(skey, '{PREFIX}')")
 def prefix_scan(spark: SparkSession, root: str) -> DataFrame:
-    return _claims(spark, root).where(F.col("skey").startswith(PREFIX)).select("ckey")
+    return _claims(spark, root, "skey").where(F.col("skey").startswith(PREFIX)).select("ckey")
 
 
 @query(
@@ -172,7 +182,7 @@ SELECT 'claims' AS kind, uid, count(*) AS n FROM left_c GROUP BY uid
 UNION ALL SELECT 'edges', uid, count(*) FROM (SELECT DISTINCT uid, older, newer FROM supersession_edges WHERE coalesce(older, '') NOT IN (SELECT ckey FROM gone) AND coalesce(newer, '') NOT IN (SELECT ckey FROM gone)) GROUP BY uid"""
 )
 def delete_detach(spark: SparkSession, root: str) -> DataFrame:
-    claims = _claims(spark, root)
+    claims = _claims(spark, root, "uid")
     gone = claims.where(F.col("uid") == GONE).select("ckey")
     kept = upsert.delete_keys(claims, "ckey", gone).groupBy("uid").agg(F.count("*").alias("n")).select(F.lit("claims").alias("kind"), "uid", "n")
     edges = upsert.detach_delete(_edges(spark, root).select("uid", "older", "newer").distinct(), ["older", "newer"], gone)
@@ -184,7 +194,7 @@ def delete_detach(spark: SparkSession, root: str) -> DataFrame:
 SELECT older, newer FROM b WHERE older IN (SELECT ckey FROM c) AND newer IN (SELECT ckey FROM c)"""
 )
 def edge_upsert(spark: SparkSession, root: str) -> DataFrame:
-    there = _claims(spark, root).select("ckey")
+    there = table(spark, root, "claims").select("ckey").where("ckey is not null").distinct()
     return upsert.merge_edges(_edges(spark, root).select("older", "newer"), there.withColumnRenamed("ckey", "older"), there.withColumnRenamed("ckey", "newer"), "older", "newer")
 
 
@@ -194,7 +204,7 @@ def edge_upsert(spark: SparkSession, root: str) -> DataFrame:
 SELECT coalesce(c.ckey, n.ckey) AS ckey, c.text, n.status, n.at_session FROM c FULL JOIN n ON c.ckey = n.ckey"""
 )
 def upsert_latest(spark: SparkSession, root: str) -> DataFrame:
-    old = _claims(spark, root).select("ckey", "text")
+    old = _claims(spark, root, "text")
     return upsert.merge_rows(old, table(spark, root, "as_of_labels").select("ckey", "status", "at_session"), "ckey").select("ckey", "text", "status", "at_session")
 
 
@@ -202,7 +212,7 @@ def upsert_latest(spark: SparkSession, root: str) -> DataFrame:
     f"""WITH {checks.CLAIMS} SELECT CASE WHEN located IS NULL THEN 'none' ELSE located END AS located, count(*) AS n, count(*) FILTER (speaker = 'assistant') AS by_assistant, count(*) FILTER (t_event > 0) AS dated FROM c GROUP BY 1"""
 )
 def span_quality(spark: SparkSession, root: str) -> DataFrame:
-    return _claims(spark, root).groupBy(F.coalesce("located", F.lit("none")).alias("located")).agg(F.count("*").alias("n"), F.count_if(F.col("speaker") == "assistant").alias("by_assistant"), F.count_if(F.col("t_event") > 0).alias("dated"))
+    return _claims(spark, root, "located", "speaker", "t_event").groupBy(F.coalesce("located", F.lit("none")).alias("located")).agg(F.count("*").alias("n"), F.count_if(F.col("speaker") == "assistant").alias("by_assistant"), F.count_if(F.col("t_event") > 0).alias("dated"))
 
 
 # Reconciliation
@@ -229,7 +239,7 @@ SELECT DISTINCT m.uid, coalesce(ren.new_canon, m.canon) AS canon, m.ckey FROM m
 )
 def renamed_mentions(spark: SparkSession, root: str) -> DataFrame:
     entities = _entities(spark, root)
-    named = memory.mentions_of(_claims(spark, root)).join(entities.select("uid", "ekey", "canon").distinct(), "ekey").select("uid", "canon", "ckey")
+    named = memory.mentions_of(_claims(spark, root, "mentions")).join(entities.select("uid", "ekey", "canon").distinct(), "ekey").select("uid", "canon", "ckey")
     return canon.rename_mentions(named, canon.reconcile(entities))
 
 
@@ -249,7 +259,7 @@ l AS (SELECT c.*, f.newer AS superseded_by, f.at_session, CASE WHEN f.older IS N
 SELECT a.uid, a.skey, a.ckey AS older, b.ckey AS newer, b.session_ord AS at_session FROM p a JOIN p b ON a.skey = b.skey AND b.pos = (SELECT min(x.pos) FROM p x WHERE x.skey = a.skey AND x.pos > a.pos AND x.slot_value IS DISTINCT FROM a.slot_value)"""
 )
 def supersession_detected(spark: SparkSession, root: str) -> DataFrame:
-    return supersession.detect(_claims(spark, root))
+    return supersession.detect(_slotted(spark, root))
 
 
 @query(f"WITH {checks.CLAIMS}, {_LABELS.format(k=AS_OF)} SELECT older, newer, at_session FROM f")
@@ -261,7 +271,7 @@ def fold_edges_asof(spark: SparkSession, root: str) -> DataFrame:
     f"""WITH {checks.CLAIMS}, {_LABELS.format(k=AS_OF)} SELECT skey, row_number() OVER (PARTITION BY skey ORDER BY session_ord, t_event, ckey) AS position, ckey, status, superseded_by, at_session FROM l WHERE skey IS NOT NULL AND skey <> ''"""
 )
 def slot_chain_asof(spark: SparkSession, root: str) -> DataFrame:
-    return supersession.chains(_claims(spark, root), _edges(spark, root), AS_OF).select("skey", "position", "ckey", "status", "superseded_by", "at_session")
+    return supersession.chains(_slotted(spark, root), _edges(spark, root), AS_OF).select("skey", "position", "ckey", "status", "superseded_by", "at_session")
 
 
 @query(
@@ -280,7 +290,7 @@ def belief_changes(spark: SparkSession, root: str) -> DataFrame:
 )
 def slot_drift(spark: SparkSession, root: str) -> DataFrame:
     """Slots that only the sessions up to AS_OF fill, and those that only later ones do."""
-    slots = _claims(spark, root).where("skey is not null").groupBy("skey").agg(F.min("session_ord").alias("lo"), F.max("session_ord").alias("hi"))
+    slots = _claims(spark, root, "skey", "session_ord").where("skey is not null").groupBy("skey").agg(F.min("session_ord").alias("lo"), F.max("session_ord").alias("hi"))
     side = F.when(F.col("hi") <= AS_OF, "early").when(F.col("lo") > AS_OF, "late")
     return slots.select(side.alias("side"), "skey").where("side is not null")
 
@@ -296,7 +306,7 @@ def convergence(spark: SparkSession, root: str) -> DataFrame:
 @query(f"WITH {checks.reached()} SELECT qid, ckey, count(*) AS convergence FROM one WHERE hops = 1 GROUP BY qid, ckey")
 def one_hop_convergence(spark: SparkSession, root: str) -> DataFrame:
     questions = _questions(spark, root)
-    led = retrieval.reach(retrieval.anchors_of(questions), memory.hits_of(_claims(spark, root), _entities(spark, root)), None, None, max_hops=1)
+    led = retrieval.reach(retrieval.anchors_of(questions), memory.hits_of(_worded(spark, root), _entities(spark, root)), None, None, max_hops=1)
     return led.groupBy("qid", "ckey").agg(F.count_distinct("stem").alias("convergence"))
 
 
@@ -320,6 +330,10 @@ def determinism_hash(spark: SparkSession, root: str) -> DataFrame:
     return _ask(spark, root)[1].hashes
 
 
+def _spans(spark: SparkSession, root: str) -> DataFrame:
+    return _claims(spark, root, "uid", "sid", "turn_idx", "cs", "ce", "session_ord", "session_date", "t_event", "speaker")
+
+
 _EXCERPTS = f"""{checks.evidence()}, tx AS (SELECT uid, sid, turn_idx, min(text) AS text FROM t GROUP BY ALL),
 s AS (SELECT ev.qid, ev.position, ev.ckey, ev.status, tx.text, length(tx.text) AS n, greatest(0, least(c.cs, length(tx.text))) AS low, c.ce FROM ev JOIN c USING (ckey) JOIN tx ON tx.uid = c.uid AND tx.sid = c.sid AND tx.turn_idx = c.turn_idx),
 x AS (SELECT *, greatest(low, least(ce, n)) AS high, greatest(0, low - 300) AS b FROM s),
@@ -328,20 +342,20 @@ ex AS (SELECT qid, position, ckey, right(ckey, 8) AS id, status, substr(text, b
 
 @query(f"WITH {_EXCERPTS} SELECT * FROM ex")
 def excerpts(spark: SparkSession, root: str) -> DataFrame:
-    return ask.hydrate(_ask(spark, root)[1].evidence, _claims(spark, root), _turns(spark, root))
+    return ask.hydrate(_ask(spark, root)[1].evidence, _spans(spark, root), table(spark, root, "turns"))
 
 
 @query(
-    f"""WITH {checks.reached()}, p AS (SELECT q.qid, x.session_ord AS k FROM q JOIN (SELECT DISTINCT uid, session_ord FROM t) x USING (uid) WHERE x.session_ord % 5 = 0),
+    f"""WITH {checks.reached()}, p AS (SELECT q.qid, x.session_ord AS k FROM q JOIN (SELECT DISTINCT uid, session_ord FROM t) x USING (uid)),
 b AS (SELECT p.qid, p.k, max(r.convergence) AS top, len(list_distinct(flatten(list(r.anchors)))) AS resolved FROM p LEFT JOIN r ON r.qid = p.qid AND r.session_ord <= p.k GROUP BY p.qid, p.k)
 SELECT qid, k, CASE WHEN coalesce(resolved, 0) = 0 THEN 'A1_no_anchors' WHEN top < least(2, greatest(1, resolved)) THEN 'A2_no_convergence' ELSE 'ANSWER' END AS verdict, top AS top_convergence FROM b"""
 )
 def trajectory(spark: SparkSession, root: str) -> DataFrame:
-    """What each question would have been told as of every session of its user. The SQL lists only every fifth session."""
+    """What each question would have been told as of every session of its user."""
     questions, answers = _ask(spark, root)
-    sessions = _turns(spark, root).select("uid", F.col("session_ord").alias("k")).distinct()
+    sessions = _turns(spark, root, "uid", "session_ord").select("uid", F.col("session_ord").alias("k")).distinct()
     points = questions.select("qid", "uid").join(sessions, "uid").select("qid", "k")
-    return retrieval.trajectory(questions, None, answers.reached, points)
+    return retrieval.trajectory(answers.reached, points)
 
 
 @query(
@@ -350,7 +364,7 @@ SELECT q.qid, 'QUESTION: ' || q.question || chr(10) || chr(10) || 'EXCERPTS (' |
 )
 def reader_prompts(spark: SparkSession, root: str) -> DataFrame:
     questions, answers = _ask(spark, root)
-    return ask.reader_prompt(questions, ask.hydrate(answers.evidence, _claims(spark, root), _turns(spark, root)))
+    return ask.reader_prompt(questions, ask.hydrate(answers.evidence, _spans(spark, root), table(spark, root, "turns")))
 
 
 # Baselines
@@ -368,7 +382,7 @@ sc AS (SELECT a.qid, p.turn, any_value(p.session_ord) AS session_ord, any_value(
 
 @query(f"WITH {_BM25} SELECT qid, turn, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, session_ord, turn_idx, turn) AS rank FROM sc WHERE score > 0 QUALIFY rank <= 10")
 def bm25_top10(spark: SparkSession, root: str) -> DataFrame:
-    return baselines.bm25(_questions(spark, root), _turns(spark, root)).select("qid", "turn", F.round("score", 6).alias("score"), "rank")
+    return baselines.bm25(_questions(spark, root), _turns(spark, root, "uid", "session_ord", "turn_idx", "text")).select("qid", "turn", F.round("score", 6).alias("score"), "rank")
 
 
 @query(
@@ -376,7 +390,7 @@ def bm25_top10(spark: SparkSession, root: str) -> DataFrame:
 SELECT uid, session_ord, chars, row_number() OVER w = 1 OR sum(chars) OVER (PARTITION BY uid ORDER BY session_ord DESC ROWS UNBOUNDED PRECEDING) <= {BUDGET} AS kept FROM z WINDOW w AS (PARTITION BY uid ORDER BY session_ord DESC)"""
 )
 def full_context_budget(spark: SparkSession, root: str) -> DataFrame:
-    return baselines.full_context(_turns(spark, root), BUDGET)
+    return baselines.full_context(_turns(spark, root, "uid", "session_ord", "text"), BUDGET)
 
 
 # Evaluation
@@ -402,9 +416,13 @@ def benchmark_slice(spark: SparkSession, root: str) -> DataFrame:
 _COVER = f"{checks.TURNS}, {checks.CLAIMS}, cov AS (SELECT uid, sid, turn_idx, EXISTS (SELECT 1 FROM c WHERE c.uid = t.uid AND c.sid = t.sid AND c.turn_idx = t.turn_idx) AS covered FROM t WHERE has_answer)"
 
 
+def _coverage(spark: SparkSession, root: str) -> DataFrame:
+    return evaluation.turn_coverage(_turns(spark, root, "uid", "sid", "turn_idx", "has_answer"), _claims(spark, root, "uid", "sid", "turn_idx"))
+
+
 @query(f"WITH {_COVER} SELECT uid, count(*) AS answer_turns, count(*) FILTER (covered) AS covered_turns, count(*) FILTER (covered) / count(*) AS recall FROM cov GROUP BY uid")
 def extraction_recall(spark: SparkSession, root: str) -> DataFrame:
-    return evaluation.extraction_recall(evaluation.turn_coverage(_turns(spark, root), _claims(spark, root)))
+    return evaluation.extraction_recall(_coverage(spark, root))
 
 
 @query(
@@ -412,14 +430,14 @@ def extraction_recall(spark: SparkSession, root: str) -> DataFrame:
 SELECT coalesce(kind, 'ALL') AS kind, count(*) AS answer_turns, count(*) FILTER (covered) AS covered_turns, CASE WHEN count(*) = 0 THEN 1 ELSE count(*) FILTER (covered) / count(*) END AS recall FROM k GROUP BY ROLLUP (kind)"""
 )
 def recall_by_type(spark: SparkSession, root: str) -> DataFrame:
-    coverage = evaluation.turn_coverage(_turns(spark, root), _claims(spark, root))
+    coverage = _coverage(spark, root)
     return evaluation.micro_recall(coverage.withColumn("kind", F.when(evaluation.is_abstention(F.col("uid")), "abstention").otherwise("answerable")), "kind")
 
 
 def _rows(spark: SparkSession, root: str) -> DataFrame:
     questions, answers = _ask(spark, root)
-    sids = answers.evidence.join(_claims(spark, root).select("ckey", F.col("sid").alias("esid")), "ckey").select("qid", F.col("esid").alias("sid"))
-    right = _turns(spark, root).where("has_answer").select("uid", "sid").distinct()
+    sids = answers.evidence.join(_claims(spark, root, "sid").select("ckey", F.col("sid").alias("esid")), "ckey").select("qid", F.col("esid").alias("sid"))
+    right = _turns(spark, root, "uid", "sid", "has_answer").where("has_answer").select("uid", "sid").distinct()
     hits = evaluation.session_hits(questions.select("qid", "uid", "question_type", "is_abstention"), sids, right)
     counts = answers.evidence.groupBy("qid").agg(F.count("*").alias("reader_tokens"))
     both = hits.join(answers.verdicts.select("qid", "verdict", "reason"), "qid").join(counts, "qid", "left").withColumn("reader_tokens", F.coalesce("reader_tokens", F.lit(0)))
@@ -467,7 +485,7 @@ def gate_report(spark: SparkSession, root: str) -> DataFrame:
 SELECT ckey, said, t_event, t_prec FROM d"""
 )
 def event_date_parse(spark: SparkSession, root: str) -> DataFrame:
-    c = _claims(spark, root)
+    c = _claims(spark, root, "t_event", "t_prec")
     year, month, day = F.floor(F.col("t_event") / 10000), F.pmod(F.floor(F.col("t_event") / 100), F.lit(100)), F.pmod("t_event", F.lit(100))
     said = F.when(F.col("t_prec") == "day", F.format_string("%d-%02d-%02d", year, month, day)).when(F.col("t_prec") == "month", F.format_string("%d-%02d", year, month)).when(F.col("t_prec") == "year", F.format_string("%d", year)).otherwise("last week")
     return c.select("ckey", said.alias("said")).select("ckey", "said", dates.event_date(F.col("said")).alias("d")).select("ckey", "said", "d.t_event", "d.t_prec")
@@ -476,15 +494,15 @@ def event_date_parse(spark: SparkSession, root: str) -> DataFrame:
 @query(f"WITH {checks.TURNS} SELECT turn, ts // 60 * 60 AS ts, CAST(strftime(make_timestamp(ts * 1000000), '%Y%m%d') AS INT) AS date_int FROM t")
 def session_stamp_parse(spark: SparkSession, root: str) -> DataFrame:
     stamp = F.date_format(F.timestamp_seconds("ts"), "yyyy/MM/dd '('EEE')' HH:mm")
-    return _turns(spark, root).select("turn", dates.session_stamp(stamp).alias("d")).select("turn", "d.ts", "d.date_int")
+    return _turns(spark, root, "ts").select("turn", dates.session_stamp(stamp).alias("d")).select("turn", "d.ts", "d.date_int")
 
 
 _SPANS = f"{checks.TURNS}, {checks.CLAIMS}, tx AS (SELECT uid, sid, turn_idx, min(text) AS text FROM t GROUP BY ALL), z AS (SELECT c.ckey, tx.text, substr(tx.text, c.cs + 1, c.ce - c.cs) AS quote FROM c LEFT JOIN tx USING (uid, sid, turn_idx))"
 
 
 def _quotes(spark: SparkSession, root: str) -> DataFrame:
-    texts = _turns(spark, root).groupBy("uid", "sid", "turn_idx").agg(F.min("text").alias("text"))
-    return _claims(spark, root).join(texts, ["uid", "sid", "turn_idx"], "left").select("ckey", "cs", "ce", texts["text"].alias("turn_text")).withColumn("quote", F.substring("turn_text", F.col("cs") + 1, F.col("ce") - F.col("cs")))
+    texts = _turns(spark, root, "uid", "sid", "turn_idx", "text").groupBy("uid", "sid", "turn_idx").agg(F.min("text").alias("text"))
+    return _claims(spark, root, "uid", "sid", "turn_idx", "cs", "ce").join(texts, ["uid", "sid", "turn_idx"], "left").select("ckey", "cs", "ce", texts["text"].alias("turn_text")).withColumn("quote", F.substring("turn_text", F.col("cs") + 1, F.col("ce") - F.col("cs")))
 
 
 @query(
