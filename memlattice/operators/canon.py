@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memlattice.functions.text import match_keys
-from memlattice.runtime import materialize
+from memlattice.operators.components import components
 
 # Kinds of entities, the more telling first.
 ETYPES = ("self", "person", "pet", "place", "org", "event", "thing", "topic")
@@ -22,25 +22,16 @@ def name_links(entities: DataFrame) -> DataFrame:
 def reconcile(entities: DataFrame) -> DataFrame:
     """uid, canon (as written), new_canon, of each entity.
 
-    The transitive closure of name_links: labels spread along the links until
-    nothing changes, each round a written table. Of a component the least canon
-    that exists already wins, else the least. Rows without a canon are dropped,
-    repeated rows count once.
+    The transitive closure of name_links. Of a component the least canon that
+    exists already wins, else the least. Rows without a user or a canon are
+    dropped, repeated rows count once.
     """
-    there = entities.where("canon is not null and canon <> ''")
-    links = name_links(there)
-    edges = materialize(links.unionByName(links.select("uid", F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "canon-edges")
+    there = entities.where("uid is not null and canon is not null and canon <> ''")
     members = there.groupBy("uid", "canon").agg(F.max(F.coalesce("existing", F.lit(False))).alias("existing"))
-    labels = materialize(members.select("uid", "canon", F.col("canon").alias("label")), "canon")
-    while True:
-        offered = edges.join(labels.withColumnRenamed("canon", "b"), ["uid", "b"]).groupBy("uid", "a").agg(F.min("label").alias("offer")).withColumnRenamed("a", "canon")
-        spread = labels.join(offered, ["uid", "canon"], "left").select("uid", "canon", F.least("label", F.coalesce("offer", "label")).alias("new"), "label")
-        stepped = materialize(spread, "canon")
-        changed = stepped.where("new <> label").limit(1).count()
-        labels = stepped.select("uid", "canon", F.col("new").alias("label"))
-        if not changed:
-            break
-    chosen = labels.join(members, ["uid", "canon"]).groupBy("uid", "label").agg(F.min(F.struct(~F.col("existing"), F.col("canon"))).alias("m")).select("uid", "label", F.col("m.canon").alias("new_canon"))
+    links = name_links(there).where("a <> b").select(F.struct("uid", F.col("a").alias("canon")).alias("a"), F.struct("uid", F.col("b").alias("canon")).alias("b"))
+    found = components(links, "canon").select("node.uid", "node.canon", F.col("component.canon").alias("label"))
+    labels = members.join(found, ["uid", "canon"], "left").withColumn("label", F.coalesce("label", "canon"))
+    chosen = labels.groupBy("uid", "label").agg(F.min(F.struct(~F.col("existing"), F.col("canon"))).alias("m")).select("uid", "label", F.col("m.canon").alias("new_canon"))
     return labels.join(chosen, ["uid", "label"]).select("uid", "canon", "new_canon")
 
 

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from memlattice.functions import keys
 from memlattice.sources.store import cache_misses
 
-#: turns -> claims; questions -> (qid, term); (question, spans) -> reply; (question, answer, reply) -> yes or no.
+#: turns -> claims; claims -> the entities they mention (ckey, uid, canon, etype, aliases); questions -> (qid, term); (question, spans) -> reply; (question, answer, reply) -> yes or no.
 Extractor = Callable[[DataFrame], DataFrame]
+Namer = Callable[[DataFrame], DataFrame]
 Expander = Callable[[DataFrame], DataFrame]
 
 
@@ -31,6 +32,12 @@ def sentence_claims(turns: DataFrame) -> DataFrame:
     ).dropDuplicates(["ckey"])
 
 
+def capitalised_names(claims: DataFrame) -> DataFrame:
+    """The namer for data without a model: runs of capitalised words, other than those that begin the claim, as things without aliases."""
+    names = F.regexp_extract_all("text", F.lit(r"(?<=[^\s.!?:]\s)(\p{Lu}[\p{L}\p{N}'’-]+(?: \p{Lu}[\p{L}\p{N}'’-]+)*)"), F.lit(1))
+    return claims.select("ckey", "uid", F.explode(F.array_distinct(names)).alias("canon"), F.lit("thing").alias("etype"), F.array().cast("array<string>").alias("aliases"))
+
+
 def synonyms(table: dict[str, str]) -> Expander:
     """The expander for data without a model: the words of a literal table, written apart by blanks, for each stem they follow from."""
     from memlattice.functions.text import stems
@@ -74,6 +81,10 @@ def call_model(calls: DataFrame, cache: DataFrame, model: str, reply: Callable[[
     return cache_misses(calls, cache).select("kind", "key", "prompt").mapInPandas(ask, "kind string, key string, model string, value string, input_tokens bigint, output_tokens bigint")
 
 
-def usage(cache: DataFrame) -> DataFrame:
-    """model, calls and tokens used."""
-    return cache.groupBy("model").agg(F.count("*").alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
+def usage(cache: DataFrame, prices: DataFrame | None = None) -> DataFrame:
+    """model, calls and tokens used; with prices (model, input, output for a million tokens) also cost, 0 for models without a price."""
+    used = cache.groupBy("model").agg(F.count("*").alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
+    if prices is None:
+        return used
+    cost = (F.col("input_tokens") * F.col("input") + F.col("output_tokens") * F.col("output")) / 1_000_000
+    return used.join(prices.select("model", "input", "output"), "model", "left").withColumn("cost", F.coalesce(cost, F.lit(0.0))).drop("input", "output")

@@ -7,7 +7,6 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,30 +50,35 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+#: Where each table that materialize() wrote lies.
+_written: dict[int, tuple[DataFrame, str]] = {}
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write a table into the shared folder and read it back.
 
     Cuts the lineage with one computation of the plan and survives the loss of
-    any executor, which a local checkpoint or a cache would not.
+    any executor, which a local checkpoint or a cache would not. The table is
+    deleted when the session ends, or before by release().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/memlattice-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _remove_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    where, system = _file_system(spark, path)
+    system.deleteOnExit(where)
+    read = spark.read.schema(df.schema).parquet(path)
+    _written[id(read)] = (read, path)
+    return read
 
 
-def _remove_at_exit(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+def release(df: DataFrame) -> None:
+    """Delete a table that materialize() wrote, once nothing reads it any more; other tables are left alone."""
+    _, path = _written.pop(id(df), (None, None))
+    if path:
+        where, system = _file_system(df.sparkSession, path)
+        system.delete(where, True)
 
 
-def until_stable(step: Callable[[DataFrame], DataFrame], start: DataFrame, changed: Callable[[DataFrame], bool], tag: str, limit: int = 50) -> DataFrame:
-    """Repeat a step, each result a written table, until nothing changes; raises past the limit rather than return half a result."""
-    now = materialize(start, tag)
-    for _ in range(limit):
-        now = materialize(step(now), tag)
-        if not changed(now):
-            return now
-    raise RuntimeError(f"{tag}: no fixpoint after {limit} steps")
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -6,30 +6,76 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlattice.operators.upsert import identifier
+from memlattice.runtime import materialize, release
 
 
 class Store:
     """Parquet tables in a shared folder, one partition for each batch.
 
-    A batch that is written again replaces itself, so a retried batch changes
-    nothing; readers see a batch once it is complete.
+    A batch is open from begin() to commit(). Readers don't see open batches,
+    nor what an attempt that failed left of one; a batch that is begun again
+    replaces what it left, and one that was committed isn't begun again. The
+    number of the last committed batch is what a reader may wait for.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root
 
+    def _at(self, *parts: str):
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/".join([self.root, *parts]))
+        return where, where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _names(self, folder: str) -> set[str]:
+        where, system = self._at(folder)
+        return {f.getPath().getName() for f in system.listStatus(where)} if system.exists(where) else set()
+
+    def begin(self, batch: int) -> bool:
+        """Open a batch; False, and nothing to do, if it is committed."""
+        if f"batch={batch}" in self._names("_committed"):
+            return False
+        where, system = self._at("_open", f"batch={batch}")
+        system.mkdirs(where)
+        return True
+
+    def commit(self, batch: int) -> None:
+        where, system = self._at("_committed", f"batch={batch}")
+        system.mkdirs(where)
+        where, system = self._at("_open", f"batch={batch}")
+        system.delete(where, True)
+
+    def last_commit(self) -> int | None:
+        """The number of the last committed batch, None before the first."""
+        return max((int(n.removeprefix("batch=")) for n in self._names("_committed")), default=None)
+
     def append(self, name: str, rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{self.root}/{identifier(name)}/batch={batch}")
 
     def exists(self, name: str) -> bool:
-        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{identifier(name)}")
-        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+        where, system = self._at(identifier(name))
+        return system.exists(where)
+
+    def of_batch(self, name: str, schema: str, batch: int) -> DataFrame:
+        """What a batch wrote so far, open or not."""
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{identifier(name)}/batch={batch}")
 
     def read(self, name: str, schema: str) -> DataFrame:
-        """The table, or an empty one of the schema before anything is written."""
+        """The table without open batches, or an empty one of the schema before anything is written."""
         if not self.exists(name):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(f"{schema}, batch int").parquet(f"{self.root}/{name}").drop("batch")
+        hidden = sorted(int(n.removeprefix("batch=")) for n in self._names("_open") - self._names("_committed"))
+        rows = self.spark.read.schema(f"{schema}, batch int").parquet(f"{self.root}/{name}")
+        return (rows.where(~F.col("batch").isin(hidden)) if hidden else rows).drop("batch")
+
+    def remove_user(self, uid: str, tables: dict[str, str]) -> None:
+        """Rewrite every batch that holds rows of a user without them."""
+        for name, schema in tables.items():
+            if self.exists(name):
+                rows = self.spark.read.schema(f"{schema}, batch int").parquet(f"{self.root}/{name}")
+                for found in rows.where(F.col("uid") == uid).select("batch").distinct().toLocalIterator():
+                    n = found["batch"]
+                    kept = materialize(self.of_batch(name, schema, n).where(~F.col("uid").eqNullSafe(F.lit(uid))), "kept")
+                    self.append(name, kept, n)
+                    release(kept)
 
 
 CACHE = "kind string, key string, model string, value string, input_tokens bigint, output_tokens bigint"

@@ -80,7 +80,7 @@ def test_trajectory(spark):
     anchors = retrieval.anchors_of(questions)
     reached = retrieval.converge(questions, retrieval.reach(anchors, hits, names, mentions), claims, memory.token_df(hits, names))
     points = spark.createDataFrame([("q1", 0), ("q1", 1), ("q1", 3), ("q2", 3)], "qid string, k int")
-    got = {(r.qid, r.k): r.verdict for r in retrieval.trajectory(questions, anchors, reached, points).collect()}
+    got = {(r.qid, r.k): r.verdict for r in retrieval.trajectory(reached, points).collect()}
     assert got == {("q1", 0): "A1_no_anchors", ("q1", 1): "ANSWER", ("q1", 3): "ANSWER", ("q2", 3): "A1_no_anchors"}
 
 
