@@ -1,8 +1,8 @@
-"""Given names with their short forms, titles and other words that stand beside names."""
+"""Short forms of given names, titles and other words that stand beside names."""
 
 from __future__ import annotations
 
-# Common given names of several languages, each with its usual short forms.
+# Given names of several languages, each with its usual short forms. What is no short form of another name needs no entry.
 SHORT_FORMS = {
     "abigail": "abby abbie gail",
     "alexander": "alex alec sasha xander sandy",
@@ -53,7 +53,50 @@ SHORT_FORMS = {
     "richard": "dick rick",
     "michael": "mike",
     "anna": "annie",
-    "maria": "",
+    "andrew": "andy drew",
+    "anthony": "tony",
+    "barbara": "barb babs",
+    "caroline": "carrie lina",
+    "christopher": "chris kit topher",
+    "deborah": "deb debbie",
+    "edward": "ed ned eddy",
+    "frederick": "fred freddie fritz",
+    "gregory": "greg",
+    "jennifer": "jen jenny",
+    "joshua": "josh",
+    "kenneth": "ken kenny",
+    "matthew": "matt",
+    "nathaniel": "nate nat",
+    "pamela": "pam",
+    "peter": "pete petey",
+    "philip": "phil pip",
+    "raymond": "ray",
+    "rebecca": "becky becca",
+    "ronald": "ron ronnie",
+    "samuel": "sam sammy",
+    "stephen": "steve stevie",
+    "susan": "sue susie",
+    "francisco": "paco pancho curro",
+    "guadalupe": "lupe lupita",
+    "guillermo": "memo guille",
+    "ignacio": "nacho",
+    "consuelo": "chelo",
+    "dolores": "lola",
+    "mercedes": "merche",
+    "enrique": "quique kike",
+    "johannes": "hans hannes jo",
+    "friedrich": "fritz friedel",
+    "magdalena": "lena magda",
+    "aleksandr": "sasha alik",
+    "dmitri": "dima mitya",
+    "mikhail": "misha",
+    "yekaterina": "katya",
+    "anastasia": "nastya stasia",
+    "katarzyna": "kasia",
+    "malgorzata": "gosia",
+    "giuseppe": "beppe peppe pino",
+    "giovanni": "gianni nino",
+    "abdelkader": "kader",
 }
 
 #: A given name or short form -> the given names it may stand for.
