@@ -217,7 +217,7 @@ def shortened(word: str, most: int) -> set[str]:
 
 
 def _split_cells(placed: DataFrame, block: list[str], name: str, radius: int, salt: int) -> DataFrame:
-    """Every cell (block, _cell) split by pivots of its own: name, _home, _cell, _d, _was (names of the cell before)."""
+    """Every cell (block, _cell) split by pivots of its own, and (_split false) as it is: name, _home, _parent, _cell, _d, _was (names of the cell before)."""
     cell = [*block, "_cell"]
     # the names that are least by each of FAN hashes: a pivot sample of bounded size, drawn map-side
     least = [F.min(F.struct(F.xxhash64(name, F.lit(FAN * salt + k)).alias("h"), F.col(name).alias("p")))["p"] for k in range(FAN)]
@@ -225,9 +225,13 @@ def _split_cells(placed: DataFrame, block: list[str], name: str, radius: int, sa
     pivots = sized.select(*cell, "_was", F.slice(F.array_distinct("_drawn"), F.lit(1), F.least(F.lit(FAN), F.ceil(F.col("_was") / CELL)).cast("int")).alias("_pivots"))
     far = placed.select(*cell, name, "_home").join(pivots, cell).withColumn("_far", _pivot_distances(F.col(name), F.col("_pivots")))
     near = far.withColumn("_near", F.array_min(F.transform("_far", lambda d, i: F.struct(d.alias("d"), i.alias("i")))))
-    into = F.filter(F.transform("_far", lambda d, i: F.struct(d.alias("d"), i.alias("i"))), lambda x: x["d"] <= F.col("_near.d") + F.lit(2 * radius))
-    spread = near.withColumn("_to", F.explode(into))
-    return spread.select(*block, name, (F.col("_home") & (F.col("_to.i") == F.col("_near.i"))).alias("_home"), F.xxhash64("_cell", F.element_at("_pivots", F.col("_to.i") + 1)).alias("_cell"), F.col("_to.d").alias("_d"), "_was")
+    into = F.filter(F.transform("_far", lambda d, i: F.struct(d.alias("d"), i.alias("i"), F.lit(True).alias("split"))), lambda x: x["d"] <= F.col("_near.d") + F.lit(2 * radius))
+    whole = F.array(F.struct(F.get("_far", F.lit(0)).alias("d"), F.lit(0).alias("i"), F.lit(False).alias("split")))
+    spread = near.withColumn("_to", F.explode(F.concat(into, whole)))
+    split = F.col("_to.split")
+    home = F.col("_home") & (~split | (F.col("_to.i") == F.col("_near.i")))
+    into_cell = F.when(split, F.xxhash64("_cell", F.element_at("_pivots", F.col("_to.i") + 1))).otherwise(F.col("_cell"))
+    return spread.select(*block, name, home.alias("_home"), F.col("_cell").alias("_parent"), into_cell.alias("_cell"), F.col("_to.d").alias("_d"), split.alias("_split"), "_was")
 
 
 def radius_join(names: DataFrame, block: list[str], name: str, radius: int = RADIUS) -> DataFrame:
@@ -238,23 +242,26 @@ def radius_join(names: DataFrame, block: list[str], name: str, radius: int = RAD
     nearest pivot; it is copied into the cells of all pivots that are at most
     twice the radius farther, so every pair meets in the home cell of its first
     name. Cells of more than CELL names are split again by pivots of their own,
-    as long as that makes them smaller. Inside a cell only names whose distance
-    to the pivot differs by no more than the radius are compared; where a cell
-    stays crowded (names all about as far from each other as from any pivot)
-    those that share a word left by taking away up to `radius` letters, which
-    all pairs within the radius do. A null block or name pairs with nothing.
+    as long as that makes them smaller; a cell whose parts would hold more than
+    twice its names, as they lie about as far from each other as from any pivot,
+    stays as it is. Inside a cell only names whose distance to the pivot differs
+    by no more than the radius are compared; in crowded cells those that share a
+    word left by taking away up to `radius` letters, which all pairs within the
+    radius do. A null block or name pairs with nothing.
     """
     whole = names.select(*block, name).where(" and ".join(f"{c} is not null" for c in [*block, name])).withColumn("_cell", F.lit(0).cast("bigint")).withColumn("_home", F.lit(True))
     leaves, salt = None, 0
     while True:
         cells = materialize(_split_cells(whole, block, name, radius, salt), "cells")
-        sizes = cells.groupBy(*block, "_cell").agg(F.count("*").alias("_n"), F.max("_was").alias("_was"), F.max("_home").alias("_homes"))
-        # no name is at home in it: nothing is looked for there
-        sized = cells.drop("_was").join(sizes.where("_homes").drop("_homes"), [*block, "_cell"])
-        again = (F.col("_n") > CELL) & (F.col("_n") < 0.7 * F.col("_was"))
-        done = sized.where(~again)
+        apart = cells.groupBy(*block, "_parent").agg((F.count_if("_split") <= 2 * F.max("_was")).alias("_apart"))
+        sizes = cells.groupBy(*block, "_parent", "_cell", "_split").agg(F.count("*").alias("_n"), F.max("_home").alias("_homes"))
+        # where no name is at home, nothing is looked for
+        kept = sizes.join(apart, [*block, "_parent"]).where("_homes and _split = _apart").drop("_homes", "_apart")
+        sized = cells.join(kept, [*block, "_parent", "_cell", "_split"])
+        again = F.col("_split") & (F.col("_n") > CELL) & (F.col("_n") < 0.7 * F.col("_was"))
+        done = sized.where(~again).select(*block, "_cell", name, "_home", "_d", "_n")
         leaves = done if leaves is None else leaves.unionByName(done)
-        if sizes.where(again).limit(1).count() == 0:
+        if sized.where(again).limit(1).count() == 0:
             break
         whole, salt = sized.where(again).select(*block, "_cell", name, "_home"), salt + 1
     on = [*block, "_cell"]
