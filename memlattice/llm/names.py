@@ -114,6 +114,8 @@ TITLES = ("dr", "mr", "mrs", "ms", "miss", "prof", "professor", "doctor", "sir",
 NOT_SURNAMES = frozenset(
     "the and for was has had his her not but you they this that with from will who whose would could should must may might can are were our your its she him there here when where what which "
     "january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday "
+    "januar februar marz april mai juni juli august september oktober november dezember montag dienstag mittwoch donnerstag freitag samstag sonntag "
+    "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre janvier fevrier mars avril juin juillet aout decembre "
     "street road avenue lane close crescent row street's notes says said asked told wrote called keeps gave owes phone tel mail email order ticket please thanks thank sure before after "
     "und oder der die das ist mit von für auf nicht schreiben et est avec pour dans les des une qui que para con por los las una del".split()
 )

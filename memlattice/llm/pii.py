@@ -4,10 +4,15 @@ A text passes transducers that undo disguises (look-alike and accented letters,
 invisible marks, digits spelled as words, "at" and "dot" in words or brackets),
 each keeping for every character the place it came from. Detectors run on the
 plain form, and what they find is mapped back to the source.
+
+Names are found by their shape: a title or an initial before a surname, a known
+short or full given name before one, or two or three capitalised words none of
+which a public vocabulary has as an everyday word.
 """
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -28,8 +33,13 @@ LOOK_ALIKES = dict(
         strict=True,
     )
 )
-# Digits as words.
-DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+# Digits as words, in English, German, Spanish and French.
+DIGIT_WORDS = {
+    "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "funf": "5", "fuenf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+    "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
+    "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+}
 
 TYPES = ("email", "id_number", "phone", "address", "name")
 
@@ -62,7 +72,8 @@ _SPELLED_PART = re.compile(rf"(?:(double|triple) )?({_SPELLED_WORD})|([\s,.\-]+)
 _DOT = r"(?: ?(?:\(dot\)|\[dot\]|\{dot\}|<dot>)| dot|\.) ?"
 _DOMAIN = rf"[A-Za-z0-9-]+(?:(?:{_DOT})[A-Za-z0-9-]+)*(?:(?:{_DOT})(?:[A-Za-z]{{2,24}}))(?![\w-])"
 _AT = re.compile(r" ?(?:\(at\)|\[at\]|\{at\}|<at>|@) ?| at (?=[\w-]+(?: dot | ?[\[(]dot))", re.IGNORECASE)
-_LOCAL = re.compile(r"(?<![\w.+-])[A-Za-z0-9][\w.+%-]*$")
+_LOCAL = re.compile(r"[A-Za-z0-9][\w.+%-]*$")
+_NO_LOCAL = re.compile(r"[^\w.+%-]")
 _HOST = re.compile(_DOMAIN, re.IGNORECASE)
 _DOT_MARK = re.compile(r" ?(?:\(dot\)|\[dot\]|\{dot\}|<dot>) ?| dot | ?\. ?", re.IGNORECASE)
 
@@ -75,6 +86,8 @@ PHONE = re.compile(
     | \d{3}[.-]\d{3}[.-]\d{4}
     | [2-9]\d{2}\ \d{3}\ \d{4}
     | 0\d{2,4}[ -]\d{3,4}[ -]\d{3,4}
+    | 0\d{4}\ \d{6}
+    | 0\d-\d{4}-\d{4}
     | 0[1-9]\d{8,9}
     | 0[1-9](?:[ .]\d{2}){4}
     )(?![\w/]|[.-]\d)""",
@@ -104,7 +117,7 @@ _STREET_START = r"(?<![\w.,:/$€£#-])\d{1,5}[A-Za-z]?"
 ADDRESS = (
     (_set(_STREET.replace("|", " ")), re.compile(rf"{_STREET_START},? ((?:[^\W\d_][\w'-]* ){{1,3}}?)(?:{_STREET})\b", re.IGNORECASE)),
     (_set("rue avenue boulevard place chemin allee impasse quai cours route"), re.compile(rf"{_STREET_START}(?: ?(?:bis|ter))?,? ()(?:rue|avenue|boulevard|place|chemin|allee|impasse|quai|cours|route) (?:(?:de la|de l'|du|des|de|d') ?)?[^\W\d_][\w'-]+", re.IGNORECASE)),
-    *((s, re.compile(rf"\b()[^\W\d_][\w-]*{re.escape(s)} \d{{1,4}}[a-z]?\b", re.IGNORECASE)) for s in ("straße", "strasse", "str.", "platz", "allee", "gasse")),
+    *((s, re.compile(rf"\b()[^\W\d_][\w-]*{re.escape(s)} \d{{1,4}}[a-z]?\b", re.IGNORECASE)) for s in ("straße", "strasse", "str.", "platz", "allee", "gasse", "weg", "ufer", "damm")),
     (_set("calle avenida avda paseo plaza carrer via viale"), re.compile(r"\b()(?:calle|avenida|avda\.?|paseo|plaza|carrer|via|viale) (?:de la |de los |de las |de |del )?[^\W\d_][\w'-]*,? (?:n[ro]?\.? ?)?\d{1,4}\b", re.IGNORECASE)),
 )
 #: Six digits or more, with the marks that stand between them: only there can a phone or identity number be.
@@ -115,7 +128,8 @@ _DIGIT_WORD_SET = _set(" ".join(DIGIT_WORDS))
 _LETTERS = bytes(c if chr(c).isalpha() else 32 for c in range(256))
 _DOTTED = re.compile(r"\. ")
 _AFTER = re.compile(r"((?: [A-Za-z]\.)*) ([^\W\d_][\w'-]*[^\W\d_])")
-_BEFORE = re.compile(r"(?<![\w@.-])([^\W\d_][\w'-]*[^\W\d_]), $")
+_NO_WORD = re.compile(r"[^\w'-]")
+_SURNAME = re.compile(r"[^\W\d_][\w'-]*[^\W\d_]")
 _INITIAL = re.compile(r"(?<![\w.@'-])([A-Za-z])\. (?:[A-Za-z]\. )*([^\W\d_][\w'-]+[^\W\d_])")
 _TITLES = {t.translate(_FOLD).encode(): re.compile(rf"(?<![\w@'-]){t.translate(_FOLD)}\.? (?:[A-Za-z]\. )*([^\W\d_][\w'-]*[^\W\d_])", re.IGNORECASE) for t in TITLES}
 _SHORT_TITLES = _set("dr mr mrs ms prof")
@@ -123,6 +137,14 @@ _SHORT_TITLES = _set("dr mr mrs ms prof")
 _BEFORE_WILL = re.compile(r"(?:^|[:.!?\n(]\s*|\b(?:to|with|by|for|from|and|ask|thank|an|dear|think)\s)$", re.IGNORECASE)
 _MIDDLE = re.compile(r"(?: [A-Za-z]\.)*")
 _FIRST_WORD = re.compile(r"\S+ ")
+_UPPER = "A-Z" + "".join(chr(c) for c in range(0xC0, 0x250) if chr(c).isupper())
+_NAME_WORD = rf"[{_UPPER}][^\W\d_]*[^\W\d_{_UPPER}]+(?:[-'][^\W\d_]+)*"
+#: Capitalised words in a row, with the initials between them.
+_CAPITALS = re.compile(rf"(?<![\w@.'#/&-]){_NAME_WORD}(?:(?: [A-Z]\.)* {_NAME_WORD})+(?![\w@&/-])")
+_CAPITAL_WORD = re.compile(_NAME_WORD)
+_AFTER_NUMBER = re.compile(r"\d[.,]? ?$")
+#: Words beside which capitalised words name a street or place, in whatever spelling.
+_STREET_WORDS = frozenset(f"{_STREET}|station|bridge|park|river|lake".split("|"))
 _GIVEN = {n.encode(): re.compile(rf"(?<![\w@.'-]){n}(?![\w@-])", re.IGNORECASE) for n in FORMAL}
 
 
@@ -169,12 +191,19 @@ class Plain:
         self._rewrite(iter(changes))
         self.spelled = spots
 
+    def _local(self, low: int, at: int) -> bool:
+        """Whether the local part of an address ends here, however long it is."""
+        begin = at
+        while begin > low and not _NO_LOCAL.match(self.text, begin - 1):
+            begin -= 1
+        return begin < at and bool(_LOCAL.search(self.text, begin, at))
+
     def addresses(self) -> None:
         """at and dot disguises of e-mail addresses."""
         changes, last = [], 0
         for m in _AT.finditer(self.text):
             host = _HOST.match(self.text, m.end())
-            if not host or m.start() < last or not _LOCAL.search(self.text, max(last, m.start() - 80), m.start()):
+            if not host or m.start() < last or not self._local(last, m.start()):
                 continue
             if m.group() != "@":
                 changes.append((m.start(), m.end(), "@"))
@@ -194,11 +223,38 @@ def _everyday(path: str) -> frozenset[str]:
         return frozenset(t[1:].decode().lower() for t in tokens if t[:1] == b" " and t[1:].isalpha() and t.isascii())
 
 
+@lru_cache(maxsize=1)
+def _lower_words(path: str) -> frozenset[str]:
+    """Words that are a token of their own, in lower case, in the public vocabulary or in that for many languages beside it, accents aside."""
+    import base64
+
+    found = set()
+    for file in (path, os.path.join(os.path.dirname(path), "byte_bpe_multi_50k.tiktoken")):
+        if os.path.exists(file):
+            with open(file, "rb") as lines:
+                for line in lines:
+                    token = base64.b64decode(line.split()[0]).decode(errors="replace")
+                    if token[:1] == " " and token[1:].isalpha() and token.islower():
+                        found |= {token[1:], token[1:].translate(_FOLD)}
+    return frozenset(found)
+
+
+def _one_slip(a: str, b: str) -> bool:
+    """Whether two words differ by at most one letter changed, added, lost or swapped with the next."""
+    if abs(len(a) - len(b)) > 1:
+        return False
+    k = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    if len(a) == len(b):
+        return a[k + 1 :] == b[k + 1 :] or (a[k : k + 2] == b[k : k + 2][::-1] and a[k + 2 :] == b[k + 2 :])
+    return a[k + 1 :] == b[k:] if len(a) > len(b) else a[k:] == b[k + 1 :]
+
+
 class Finder:
     """Finds the items of a text."""
 
     def __init__(self, vocabulary: str | None = None) -> None:
-        self._words = _everyday(vocabulary or default_vocabulary())
+        path = vocabulary or default_vocabulary()
+        self._words, self._lower = _everyday(path), _lower_words(path)
 
     def find(self, text: str) -> list[tuple[str, int, int]]:
         """(type, start, end) of each item, in order, by the characters of the text."""
@@ -255,6 +311,15 @@ class Finder:
             return False
         return word[0].isupper() if capital else low not in self._words
 
+    def _common(self, word: str) -> bool:
+        """Whether a capitalised word is one of everyday, a title, a month or the like."""
+        low = word.lower().removesuffix("'s")
+        return low in self._lower or low in NOT_SURNAMES or low.encode() in _TITLES
+
+    @staticmethod
+    def _of_place(word: str) -> bool:
+        return any(_one_slip(word.lower(), s) for s in _STREET_WORDS if len(s) > 3)
+
     def _names(self, text: str, words: set[bytes]) -> list[tuple[int, int]]:
         out: list[tuple[int, int]] = []
 
@@ -272,9 +337,19 @@ class Finder:
             elif capital or text[start:end] not in EVERYDAY:
                 rest.append((start, end, capital))
         for start, end, capital in rest:
-            m = _BEFORE.search(text, max(0, start - 60), start)
-            if m and self._surname(m.group(1), capital):
-                add(m.start(1), _MIDDLE.match(text, end).end())
+            begin = start - 2
+            while begin > 0 and not _NO_WORD.match(text, begin - 1):
+                begin -= 1
+            m = _SURNAME.fullmatch(text, begin, start - 2) if start > 3 and text[start - 2 : start] == ", " and (begin == 0 or text[begin - 1] not in "@.") else None
+            if m and self._surname(m.group(), capital):
+                add(m.start(), _MIDDLE.match(text, end).end())
+        for m in _CAPITALS.finditer(text):
+            parts = list(_CAPITAL_WORD.finditer(text, m.start(), m.end()))
+            while parts and self._common(parts[0].group()):
+                parts.pop(0)
+            if len(parts) in (2, 3) and not any(self._common(p.group()) or self._of_place(p.group()) for p in parts) and self._surname(parts[-1].group(), True):
+                if not (parts[0].start() == m.start() and _AFTER_NUMBER.search(text, max(0, m.start() - 3), m.start())):
+                    add(parts[0].start(), m.end())
         for title in words & _TITLES.keys():
             for m in _TITLES[title].finditer(text):
                 surname = m.group(1)

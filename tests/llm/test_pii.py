@@ -35,6 +35,21 @@ CASES = [
     ("ask Hattie B. Zaemvane today", "name", "Hattie B. Zaemvane"),
     ("ask T. Zaemvane today", "name", "T. Zaemvane"),
     ("ask Dr. Zaemvane today", "name", "Zaemvane"),
+    ("call tel 07700 900123 or", "phone", "07700 900123"),
+    ("call 03-1234-5678 or", "phone", "03-1234-5678"),
+    ("ruf null eins sieben sechs fünf fünf vier drei an", "phone", "null eins sieben sechs fünf fünf vier drei"),
+    ("llama al seis uno dos tres cuatro cinco seis siete ocho hoy", "phone", "seis uno dos tres cuatro cinco seis siete ocho"),
+    ("wohnt im Musterweg 5, hinten", "address", "Musterweg 5"),
+    ("ask " + "x" * 300 + "@mail.example now", "email", "x" * 300 + "@mail.example"),
+    ("ask " + "x" * 300 + " (at) mail dot example now", "email", "x" * 300 + " (at) mail dot example"),
+    ("ask S" + "o" * 100 + "vane, Oliver today", "name", "S" + "o" * 100 + "vane, Oliver"),
+    ("I met Priya Sharma there", "name", "Priya Sharma"),
+    ("Call Katarzyna Nowak tomorrow", "name", "Katarzyna Nowak"),
+    ("und Mohammed Haddad war da", "name", "Mohammed Haddad"),
+    ("lunch with Chloé Dubois.", "name", "Chloé Dubois"),
+    ("Hiroshi Tanaka called", "name", "Hiroshi Tanaka"),
+    ("ask Łukasz Wójcik-Malinowski today", "name", "Łukasz Wójcik-Malinowski"),
+    ("Yesterday Ngozi A. Okonkwo's car broke", "name", "Ngozi A. Okonkwo"),
     ("Bitte an Jönäthän Brïlqüör schreiben", "name", "Jönäthän Brïlqüör"),
 ]
 
@@ -48,7 +63,7 @@ def test_found(text, kind, item):
 
 @pytest.mark.parametrize(
     "text",
-    ["Order 7482-13024 still has not left", "The ticket #5468367 was closed", "on 2024-09-16 at 12:10", "version 9.19.80 fixes it", "Ping @zurde_55 if the list changes.", "Meet at the corner of Saedorf Street around 11:45", "Holttiex the ferret sleeps", "It cost 355.56 euros or $512", "My coach gavve me a lamp", "It will bring two or three, five or six of one kind", "", "plan B. The rest"],
+    ["Order 7482-13024 still has not left", "The ticket #5468367 was closed", "on 2024-09-16 at 12:10", "version 9.19.80 fixes it", "Ping @zurde_55 if the list changes.", "Meet at the corner of Saedorf Street around 11:45", "Holttiex the ferret sleeps", "It cost 355.56 euros or $512", "My coach gavve me a lamp", "It will bring two or three, five or six of one kind", "", "plan B. The rest", "Für Linsensuppe brauchst du 31 Minuten Geduld.", "Meet me at the corner of Klaefield Stree now", "Kinnend Coffee Roasters opens", "Before January I rest", "New York is large"],
 )
 def test_nothing_found(text):
     assert FIND.find(text) == []
