@@ -142,6 +142,9 @@ _NAME_WORD = rf"[{_UPPER}][^\W\d_]*[^\W\d_{_UPPER}]+(?:[-'][^\W\d_]+)*"
 #: Capitalised words in a row, with the initials between them.
 _CAPITALS = re.compile(rf"(?<![\w@.'#/&-]){_NAME_WORD}(?:(?: [A-Z]\.)* {_NAME_WORD})+(?![\w@&/-])")
 _CAPITAL_WORD = re.compile(_NAME_WORD)
+#: A surname, a comma and what may be a given name, with nothing but an initial or the end of a clause after it; lists of more are no names.
+_TURNED = re.compile(rf"(?<![\w@.'#/&-])(?<!, )(?<![{_UPPER}]\w )({_NAME_WORD}), ({_NAME_WORD})(?: [A-Z]\.)*(?! ?[,/&@-]| und | and | [{_UPPER}])(?!\w)")
+_PLACED = re.compile(r"\b(?:in|near|at|nach|bei|aus|en|à|of|around)\s+$", re.IGNORECASE)
 _AFTER_NUMBER = re.compile(r"\d[.,]? ?$")
 #: Words beside which capitalised words name a street or place, in whatever spelling.
 _STREET_WORDS = frozenset(f"{_STREET}|station|bridge|park|river|lake".split("|"))
@@ -350,6 +353,10 @@ class Finder:
             if len(parts) in (2, 3) and not any(self._common(p.group()) or self._of_place(p.group()) for p in parts) and self._surname(parts[-1].group(), True):
                 if not (parts[0].start() == m.start() and _AFTER_NUMBER.search(text, max(0, m.start() - 3), m.start())):
                     add(parts[0].start(), m.end())
+        if ", " in text:
+            for m in _TURNED.finditer(text):
+                if not any(self._common(w) or self._of_place(w) for w in m.groups()) and self._surname(m.group(1), True) and not _PLACED.search(text, max(0, m.start() - 12), m.start()):
+                    add(m.start(), m.end())
         for title in words & _TITLES.keys():
             for m in _TITLES[title].finditer(text):
                 surname = m.group(1)
