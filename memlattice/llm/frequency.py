@@ -1,71 +1,40 @@
 """Occurrences and record frequency of every distinct term (last-seen counters).
 
-Records are hash-partitioned and every partition is read in record order. One
-pass keeps three values for each term: occurrences, records, and the record in
-which it was last seen; the record count rises only when the record changes,
-so no set of records per term exists anywhere. Partitions hold whole records,
-hence their counters simply add up: what is shuffled is one row for each term
-and partition, and a term that occurs in every record costs no more than
-another.
+Tokens are hash-partitioned by term and every partition is read in the order of
+records. A term's counter holds three values: occurrences, records, and the
+record last seen; the record count rises only when the record changes, so no set
+of records per term exists anywhere, and what a task holds is one counter. A
+term that occurs everywhere is split by a hash of the record into slices whose
+counters add up, since no record is in two of them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A partition hands on and clears its counters beyond this many terms, always between two records; the sums stay exact.
-MAX_COUNTERS = 400_000
+from memlattice.operators.presence import entity_hash
 
-_PARTIAL = "scope string, term string, occurrences bigint, records bigint"
+#: Slices that the records of each term are split into.
+SLICES = 64
 
 
 def _whole_records(df: DataFrame, record: list[str], terms: str, arrived: str | None, scope: Column) -> DataFrame:
-    """scope, terms of one row per record: the last delivery, or the greatest array where deliveries carry no time."""
+    """scope, rec, terms of one row per record: the last delivery, or the greatest array where deliveries carry no time."""
     newest = F.struct(*([F.col(arrived).alias("_t")] if arrived else []), F.col(terms).alias("_v"))
-    return df.select(*[F.col(c).alias(f"_r{i}") for i, c in enumerate(record)], scope.alias("_scope"), newest.alias("_n")).groupBy(*[f"_r{i}" for i in range(len(record))]).agg(F.first("_scope").alias("scope"), F.max("_n").getField("_v").alias("terms")).select("scope", "terms")
-
-
-def _last_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: dict[tuple[str | None, str], list[int]] = {}
-    record = 0
-
-    def hand_on() -> pa.RecordBatch:
-        keys = list(seen)
-        out = pa.RecordBatch.from_arrays(
-            [
-                pa.array([k[0] for k in keys], pa.string()),
-                pa.array([k[1] for k in keys], pa.string()),
-                pa.array([c[0] for c in seen.values()], pa.int64()),
-                pa.array([c[1] for c in seen.values()], pa.int64()),
-            ],
-            names=["scope", "term", "occurrences", "records"],
-        )
-        seen.clear()
-        return out
-
-    for batch in batches:
-        scopes = batch.column(0).to_pylist()
-        for scope, terms in zip(scopes, batch.column(1).to_pylist(), strict=True):
-            record += 1
-            for term in terms or ():
-                if not term:
-                    continue
-                counter = seen.get((scope, term))
-                if counter is None:
-                    seen[scope, term] = [1, 1, record]
-                else:
-                    counter[0] += 1
-                    if counter[2] != record:
-                        counter[1] += 1
-                        counter[2] = record
-            if len(seen) > MAX_COUNTERS:
-                yield hand_on()
-    if seen:
-        yield hand_on()
+    names = [f"_r{i}" for i in range(len(record))]
+    rows = df.select(*[F.col(c).alias(n) for c, n in zip(record, names, strict=True)], scope.alias("_scope"), newest.alias("_n"))
+    once = rows.groupBy(*names).agg(F.first("_scope").alias("scope"), F.max("_n").getField("_v").alias("terms"))
+    # which parts are null is part of the hash, as null and nothing hash alike
+    return once.select("scope", entity_hash(*[c for n in names for c in (F.col(n), F.col(n).isNull())]).alias("rec"), "terms")
+
+
+def _last_seen(tokens: DataFrame) -> DataFrame:
+    """scope, term, occurrences, records from tokens (scope, term, rec)."""
+    by_record = Window.partitionBy("scope", "term", "_slice").orderBy("rec")
+    sliced = tokens.withColumn("_slice", F.pmod(F.col("rec.a"), F.lit(SLICES)).cast("int"))
+    counted = sliced.withColumn("_changed", ~F.lag("rec").over(by_record).eqNullSafe(F.col("rec")))
+    return counted.groupBy("scope", "term").agg(F.count("*").alias("occurrences"), F.count_if("_changed").alias("records"))
 
 
 def term_frequencies(df: DataFrame, record: list[str], terms: str, arrived: str | None = None, scope: str | None = None) -> DataFrame:
@@ -79,14 +48,13 @@ def term_frequencies(df: DataFrame, record: list[str], terms: str, arrived: str
     columns are ignored.
     """
     whole = _whole_records(df, record, terms, arrived, F.col(scope) if scope else F.lit(None).cast("string"))
-    parts = whole.mapInArrow(_last_seen, _PARTIAL)
-    sums = parts.groupBy("scope", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+    sums = _last_seen(whole.select("scope", "rec", F.explode("terms").alias("term")).where("term <> ''"))
     size = df.select(*record).groupBy(*record).agg(F.lit(1).alias("_one"))
     if scope:
         totals = size.groupBy(F.col(scope).alias("_s")).agg(F.count("*").alias("total_records"))
         joined = sums.join(totals, F.col("scope").eqNullSafe(F.col("_s")), "left").drop("_s")
         return joined.select(F.col("scope").alias(scope), "term", "occurrences", "records", "total_records")
-    return sums.select("term", "occurrences", "records", F.lit(size.count()).alias("total_records"))
+    return sums.select("term", "occurrences", "records", size.agg(F.count("*")).scalar().alias("total_records"))
 
 
 def mark_unusable(counts: DataFrame, rare: int = 2, common_share: float = 0.05) -> DataFrame:

@@ -1,5 +1,7 @@
 from collections import Counter
 
+import pytest
+
 import memlattice.llm.frequency as frequency
 from memlattice.llm.frequency import corrected_df, mark_unusable, term_frequencies
 
@@ -13,14 +15,20 @@ def test_counts(spark):
     assert term_frequencies(df.limit(0), ["uid", "session_key"], "hits").collect() == []
 
 
-def test_counters_handed_on_between_records_add_up(spark, monkeypatch):
+@pytest.mark.parametrize("slices", [1, 5, 64])
+def test_slices_of_a_term_add_up(spark, monkeypatch, slices):
     rows = [(f"r{i}", [f"t{(i * j) % 23}" for j in range(12)]) for i in range(200)]
     df = spark.createDataFrame(rows, "r string, t array<string>")
-    monkeypatch.setattr(frequency, "MAX_COUNTERS", 3)
+    monkeypatch.setattr(frequency, "SLICES", slices)
     occ, rec = Counter(t for _, ts in rows for t in ts), Counter(t for _, ts in rows for t in set(ts))
     assert {r.term: (r.occurrences, r.records) for r in term_frequencies(df, ["r"], "t").collect()} == {t: (occ[t], rec[t]) for t in occ}
 
 
+def test_records_that_differ_in_a_null_only(spark):
+    df = spark.createDataFrame([("u", None, ["a"]), (None, "u", ["a"]), ("u", "", ["a"]), ("u", "u", ["a"])], "x string, y string, t array<string>")
+    assert [tuple(r) for r in term_frequencies(df, ["x", "y"], "t").collect()] == [("a", 4, 4, 4)]
+
+
 def test_marks(spark):
     df = spark.createDataFrame([("x", 2, 100), ("y", 3, 100), ("z", 6, 100), ("w", 2, 3)], "term string, records int, total_records int")
     assert {r.term: r.mark for r in mark_unusable(df).collect()} == {"x": "rare", "y": None, "z": "common", "w": "rare"}
