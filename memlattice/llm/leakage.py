@@ -34,6 +34,8 @@ WHOLE_RUN = ALTERED_SPAN - 1
 GRAMS_IN_RUN = WHOLE_RUN - GRAM + 1
 #: ... and no fewer whole n-grams of the item in all (reached by three runs of 3, 7 and 6 words or 4, 7 and 5).
 LEAST_GRAMS = 4
+#: Whole n-grams of such a passage follow each other within so many words, on diagonals so close; beyond its outermost ones it has no more words than REACH.
+REACH, DRIFT = 2 * ALTERED_SPAN, 4
 #: Scores of the alignment.
 MATCH, MISMATCH, GAP = 2, -2, -2
 #: Items are taken in blocks of at most so many words, each with a scan of its own; the n-grams of one block are what is sent to the executors.
@@ -116,35 +118,45 @@ def _automaton(grams: tuple[str, ...]):
     return machine
 
 
-def align(item: list[str], doc: list[str]) -> tuple[int, list[tuple[int, int, bool]]]:
-    """Score and path of the best local alignment; the path's steps are (item word or -1, document word or -1, match).
+def align(item: list[str], doc: list[str], low: int | None = None, high: int | None = None) -> tuple[int, list[tuple[int, int, bool]]]:
+    """Score and path of the best local alignment on the diagonals (place in doc less place in item) from low to high, all if not given.
 
-    A row of the matrix at a time: the gap along the row is a running maximum.
+    The path's steps are (item word or -1, document word or -1, match). Only the
+    band is kept, a row at a time: the gap along the row is a running maximum.
     """
     ids: dict[str, int] = {}
     a = np.array([ids.setdefault(w, len(ids)) for w in item])
     b = np.array([ids.setdefault(w, len(ids)) for w in doc])
     m, n = len(a), len(b)
-    h = np.zeros((m + 1, n + 1), dtype=np.int32)
-    slope = np.arange(n + 1, dtype=np.int32) * -GAP
+    low, high = -m if low is None else low, n if high is None else high
+    width = high - low + 1
+    h = np.zeros((m + 1, width + 1), dtype=np.int32)  # one more diagonal, always 0
+    slope = np.arange(width, dtype=np.int32) * -GAP
     for i in range(1, m + 1):
-        best = np.zeros(n + 1, dtype=np.int32)
-        np.maximum(h[i - 1, :-1] + np.where(b == a[i - 1], MATCH, MISMATCH), h[i - 1, 1:] + GAP, out=best[1:])
+        first = i - 1 + low  # the document word of the band's first diagonal
+        begin, end = max(0, -first), min(width, n - first)
+        if begin >= end:
+            continue
+        best = np.zeros(width, dtype=np.int32)
+        score = np.where(b[first + begin : first + end] == a[i - 1], MATCH, MISMATCH)
+        np.maximum(h[i - 1, begin:end] + score, h[i - 1, begin + 1 : end + 1] + GAP, out=best[begin:end])
         np.maximum(best, 0, out=best)
-        h[i] = np.maximum.accumulate(best + slope) - slope
-    i, j = np.unravel_index(int(np.argmax(h)), h.shape)
-    score, path = int(h[i, j]), []
-    while i > 0 and j > 0 and h[i, j] > 0:
-        same = bool(a[i - 1] == b[j - 1])
-        if h[i, j] == h[i - 1, j - 1] + (MATCH if same else MISMATCH):
-            i, j = i - 1, j - 1
-            path.append((int(i), int(j), same))
-        elif h[i, j] == h[i - 1, j] + GAP:
+        row = np.maximum.accumulate(best + slope) - slope
+        h[i, begin:end] = row[begin:end]
+    i, c = np.unravel_index(int(np.argmax(h)), h.shape)
+    score, path = int(h[i, c]), []
+    while i > 0 and h[i, c] > 0:
+        j = i - 1 + low + c
+        same = bool(a[i - 1] == b[j])
+        if h[i, c] == h[i - 1, c] + (MATCH if same else MISMATCH):
+            path.append((int(i - 1), int(j), same))
             i -= 1
-            path.append((int(i), -1, False))
+        elif h[i, c] == h[i - 1, c + 1] + GAP:
+            path.append((int(i - 1), -1, False))
+            i, c = i - 1, c + 1
         else:
-            j -= 1
             path.append((-1, int(j), False))
+            c -= 1
     return score, path[::-1]
 
 
@@ -191,32 +203,46 @@ def extended(path: list[tuple[int, int, bool]], item: list[str], doc: list[str])
     return path + _onward(item, doc, path[-1][0] + 1, path[-1][1] + 1, trail, 1)
 
 
-def _regions(places: list[int], reach: int, n: int) -> list[tuple[int, int]]:
-    regions: list[list[int]] = []
-    for p in sorted(places):
-        if regions and p - reach <= regions[-1][1]:
-            regions[-1][1] = p + reach
+def chains(places: list[tuple[int, int]]) -> list[tuple[int, int, int, int, int, int]]:
+    """Item words from and to, document words from and to, diagonals from and to, of the chains that n-grams at (document word, item word) form.
+
+    An n-gram goes on with a chain that ended no more than REACH words before, on
+    a diagonal that differs by no more than DRIFT. Chains with fewer n-grams than
+    a passage has are left out.
+    """
+    open_, done = [], []
+    for at, k in sorted(places):
+        done += [c for c in open_ if at - c[3] > REACH]
+        open_ = [c for c in open_ if at - c[3] <= REACH]
+        near = min((c for c in open_ if abs(at - k - c[6]) <= DRIFT), key=lambda c: abs(at - k - c[6]), default=None)
+        if near is None:
+            open_.append([k, k, at, at, at - k, at - k, at - k, 1])
         else:
-            regions.append([p - reach, p + reach])
-    return [(max(0, a), min(n, b)) for a, b in regions]
+            near[0], near[1], near[3] = min(near[0], k), max(near[1], k), at
+            near[4], near[5], near[6], near[7] = min(near[4], at - k), max(near[5], at - k), at - k, near[7] + 1
+    return [tuple(c[:6]) for c in done + open_ if c[7] >= LEAST_GRAMS]
 
 
-def passage_in(item: list[str], doc: list[str], places: list[int]) -> tuple[int, int]:
-    """Item words of the longest passage of the item in the document, and the score of its alignment; 0, 0 if it is too short."""
+def passage_in(item: list[str], doc: list[str], places: list[tuple[int, int]]) -> tuple[int, int]:
+    """Item words of the longest passage of the item in the document, and the score of its alignment; 0, 0 if it is too short.
+
+    places are the n-grams they share, as (document word, item word). Each chain
+    of them is aligned in the band around its diagonals, so what is kept grows
+    with its length, not with that of the document.
+    """
     found = (0, 0)
-    for low, high in _regions(places, len(item) + 2 * GRAM, len(doc)):
-        window = doc[low:high]
+    for k0, k1, at0, at1, low, high in chains(places):
+        i, j = max(0, k0 - REACH), max(0, at0 - REACH)
+        part, window = item[i : k1 + GRAM + REACH], doc[j : at1 + GRAM + REACH]
         while True:
-            score, path = align(item, window)
+            score, path = align(part, window, low - j + i - DRIFT, high - j + i + DRIFT)
             # the fewest matches and most alterations that a passage can have
             if score < MATCH * (PASSAGE - 3) + 3 * MISMATCH:
                 break
-            found = max(found, (longest_passage(extended(path, item, window)), score))
-            if found[0] >= PASSAGE:
-                break
-            for _, j, _ in path:  # look for another passage beside this one
-                if j >= 0:
-                    window[j] = "\0"
+            found = max(found, (longest_passage(extended(path, part, window)), score))
+            for _, at, _ in path:  # look for another passage beside this one
+                if at >= 0:
+                    window[at] = "\0"
     return found if found[0] >= PASSAGE else (0, 0)
 
 
@@ -258,20 +284,20 @@ def _block(docs: DataFrame, key: str, text: str, items: list[tuple[object, str]]
         names, texts, info = shared.value
         for batch in batches:
             out = []
-            for k, (found, where, line) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+            for row, (found, where, line) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
                 places, seeded = defaultdict(list), set()
                 for g, at in zip(found, where, strict=True):
                     of_items, of_seeds = info[g]
                     seeded.update(of_seeds)
-                    for item, _ in of_items:
-                        places[item].append(at)
+                    for item, k in of_items:
+                        places[item].append((at, k))
                 joined = [i for i in seeded if len(places[i]) >= LEAST_GRAMS]
                 if joined:
                     words = line.split(" ")
                     for i in joined:
                         length, score = passage_in(texts[i], words, places[i])
                         if length:
-                            out.append((k, names[i], length, score))
+                            out.append((row, names[i], length, score))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array([o[0] for o in out], pa.int64())), pa.array([o[1] for o in out], to_arrow), pa.array([o[2] for o in out], pa.int32()), pa.array([o[3] for o in out], pa.int32())],
                 names=[key, item_key, "passage_words", "score"],

@@ -264,6 +264,7 @@ def radius_join(names: DataFrame, block: list[str], name: str, radius: int = RAD
         if sized.where(again).limit(1).count() == 0:
             break
         whole, salt = sized.where(again).select(*block, "_cell", name, "_home"), salt + 1
+    leaves = materialize(leaves.where("_n > 1"), "leaves")
     on = [*block, "_cell"]
 
     def pairs(cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -273,9 +274,10 @@ def radius_join(names: DataFrame, block: list[str], name: str, radius: int = RAD
         close = (F.col("name_a") < F.col("name_b")) & (F.abs(F.col("_da") - F.col("_db")) <= radius) & (F.abs(F.length("name_a") - F.length("name_b")) <= radius) & (F.levenshtein("name_a", "name_b", 2 * radius) >= 0)
         return a.join(b, keys).where(close).select(*block, "name_a", "name_b")
 
-    lone = leaves.where(F.col("_n") > 1)
-    crowded = lone.where(F.col("_n") > CROWDED).withColumn("_key", F.explode(_shortened(F.col(name), F.lit(radius))))
-    found = pairs(lone.where(F.col("_n") <= CROWDED), on).unionByName(pairs(crowded, [*on, "_key"]).distinct())
+    found = pairs(leaves.where(F.col("_n") <= CROWDED), on)
+    crowded = leaves.where(F.col("_n") > CROWDED)
+    if crowded.limit(1).count():
+        found = found.unionByName(pairs(crowded.withColumn("_key", F.explode(_shortened(F.col(name), F.lit(radius)))), [*on, "_key"]).distinct())
     return found.withColumn("slips", _slips(F.col("name_a"), F.col("name_b"))).where(F.col("slips") <= radius)
 
 

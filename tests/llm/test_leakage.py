@@ -1,10 +1,20 @@
 import random
+import tracemalloc
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from memlattice.llm.leakage import align, choose_seeds, item_grams, leaked_items, leaked_pairs, longest_passage, passage_in, plain_words
 
+
+def shared(item, doc, n=5):
+    """The n-grams that both have, as (document word, item word)."""
+    at = {}
+    for k in range(len(item) - n + 1):
+        at.setdefault(tuple(item[k : k + n]), []).append(k)
+    return [(j, k) for j in range(len(doc) - n + 1) for k in at.get(tuple(doc[j : j + n]), ())]
+
+
 WORDS = [f"{a}{b}{c}" for a in "bdfgklm" for b in "aeiou" for c in ("st", "nt", "rk", "l", "m")]
 
 
@@ -98,5 +108,26 @@ def test_two_short_halves_are_no_passage():
     rng = random.Random(8)
     item = rng.choices(WORDS, k=40)
     doc = item[:12] + ["x1", "x2", "x3"] + item[12:24]
-    assert passage_in(item, doc, [0, 1, 2, 15, 16]) == (0, 0)
-    assert passage_in(item, item[:18], [0, 5, 9])[0] == 18
+    assert passage_in(item, doc, shared(item, doc)) == (0, 0)
+    assert passage_in(item, item[:18], shared(item, item[:18]))[0] == 18
+
+
+def test_the_longest_passage_of_a_long_document():
+    """Half a million words: only the chains around shared n-grams are aligned, and the longest of several passages counts."""
+    rng = random.Random(5)
+    item = [f"w{i}" for i in range(2000)]
+    doc = [rng.choice(["a", "b", "c", "d"]) for _ in range(500_000)]
+    doc[1000:1018] = item[40:58]
+    doc[300_000:300_900] = [w if i % 9 else "x" for i, w in enumerate(item[500:1400])]
+    doc[499_970:500_000] = item[1970:]
+    tracemalloc.start()
+    length, _ = passage_in(item, doc, shared(item, doc))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert length == 899 and peak < 100_000_000
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.sampled_from("abcd"), min_size=1, max_size=12), st.lists(st.sampled_from("abcd"), min_size=1, max_size=12))
+def test_a_wide_band_is_the_whole_matrix(a, b):
+    assert align(a, b)[0] == align(a, b, -len(a) - 3, len(b) + 3)[0]
