@@ -11,6 +11,11 @@ def key(*parts: Column | str) -> Column:
     return F.concat_ws("|", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
+def prefixed_uid(prefix: str, uid: Column) -> Column:
+    """A user under another name, so that one transcript can be remembered twice."""
+    return F.concat_ws("-", F.lit(prefix), uid)
+
+
 def user_key(uid: Column) -> Column:
     return key(uid, "user")
 

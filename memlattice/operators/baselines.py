@@ -49,6 +49,12 @@ def bm25(questions: DataFrame, turns: DataFrame, k: int = TOP) -> DataFrame:
     return summed.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def as_spans(found: DataFrame) -> DataFrame:
+    """qid, position, turn, id, status, highlight_start, highlight_end: BM25's turns in the shape of evidence and in the order they were said; a term index knows no supersession, so all are current."""
+    order = Window.partitionBy("qid").orderBy("session_ord", "turn_idx", "turn")
+    return found.select("qid", F.row_number().over(order).alias("position"), "turn", F.concat_ws("-", "session_ord", "turn_idx").alias("id"), F.lit("CURRENT").alias("status"), F.lit(0).alias("highlight_start"), F.lit(0).alias("highlight_end"))
+
+
 def full_context(turns: DataFrame, most: int) -> DataFrame:
     """uid, session_ord, chars, kept: sessions from the newest back until the budget of characters is passed; the newest is always kept."""
     sizes = turns.groupBy("uid", "session_ord").agg(F.sum(F.length("text")).alias("chars"))

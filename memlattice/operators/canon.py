@@ -35,6 +35,12 @@ def reconcile(entities: DataFrame) -> DataFrame:
     return labels.join(chosen, ["uid", "label"]).select("uid", "canon", "new_canon")
 
 
+def canon_drift(entities: DataFrame) -> DataFrame:
+    """uid, canon, cold, warm: names that are chosen otherwise when some entities exist already than when all are new."""
+    cold = reconcile(entities.withColumn("existing", F.lit(False))).withColumnRenamed("new_canon", "cold")
+    return cold.join(reconcile(entities).withColumnRenamed("new_canon", "warm"), ["uid", "canon"]).where("cold <> warm").select("uid", "canon", "cold", "warm")
+
+
 def merged_entities(entities: DataFrame, renames: DataFrame) -> DataFrame:
     """uid, canon, etype, aliases: one row per component, its aliases and renamed canons together, its kind the most telling."""
     rank = F.coalesce(F.array_position(F.array(*[F.lit(t) for t in ETYPES]), F.col("etype")), F.lit(0))

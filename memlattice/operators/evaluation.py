@@ -65,6 +65,7 @@ def summaries(rows: DataFrame) -> DataFrame:
         F.coalesce(F.median("reader_tokens"), F.lit(0.0)).alias("tokens_p50"),
         F.count_if(F.col("reason") == "A1_no_anchors").alias("a1"),
         F.count_if(F.col("reason") == "A2_no_convergence").alias("a2"),
+        *([F.coalesce(F.median("latency_ms"), F.lit(0.0)).alias("latency_p50")] if "latency_ms" in rows.columns else []),
         F.grouping("question_type").alias("_all"),
     )
     return rolled.withColumn("question_type", F.when(F.col("_all") == 1, "ALL").otherwise(F.col("question_type"))).drop("_all")
@@ -82,6 +83,7 @@ def gate_report(rows: DataFrame) -> DataFrame:
         _share(~answerable, absent).alias("abstention_precision"),
         F.count_if(F.col("reason") == "A1_no_anchors").alias("a1"),
         F.count_if(F.col("reason") == "A2_no_convergence").alias("a2"),
+        *([F.coalesce(F.median("latency_ms"), F.lit(0.0)).alias("latency_p50")] if "latency_ms" in rows.columns else []),
         F.grouping("question_type").alias("_all"),
     )
     return rolled.withColumn("question_type", F.when(F.col("_all") == 1, "ALL").otherwise(F.col("question_type"))).drop("_all")
@@ -103,6 +105,41 @@ def judge_template(question_type: Column, abstention: Column) -> Column:
     return F.when(abstention, "abstention").when(own, question_type).when(plain, "default").otherwise(F.raise_error(F.concat(F.lit("no rubric for question type "), question_type)))
 
 
+#: What each rubric asks of a reply, and what it calls the text to hold the reply against.
+RUBRICS = {
+    "default": ("Say yes if the reply gives the expected answer, in any words or with all steps that lead to it. A reply with only a part of it is a no.", "Expected answer"),
+    "temporal-reasoning": ("Say yes if the reply gives the expected answer, in any words or with all steps that lead to it. A count of days, weeks or months that is off by one is still right. A reply with only a part of it is a no.", "Expected answer"),
+    "knowledge-update": ("Say yes if the reply gives the updated answer, even if it also tells what held before.", "Expected answer"),
+    "single-session-preference": ("Say yes if the reply makes right use of what is known of the person. It needn't meet every point of the rubric.", "Rubric"),
+    "abstention": ("The question can't be answered. Say yes if the reply recognises that, for instance by saying that something asked for is not known.", "Why it can't be answered"),
+}
+
+
+def judge_prompt(template: Column, question: Column, expected: Column, reply: Column) -> Column:
+    """What a judge is asked, by the rubric of judge_template; answered by yes or no."""
+    prompt = None
+    for name, (rubric, label) in RUBRICS.items():
+        text = F.concat(F.lit(f"{rubric}\n\nQuestion: "), question, F.lit(f"\n\n{label}: "), expected, F.lit("\n\nReply: "), reply, F.lit("\n\nAnswer yes or no only."))
+        prompt = F.when(template == name, text) if prompt is None else prompt.when(template == name, text)
+    return prompt
+
+
+def not_in_memory(answer: Column, premise_supported: Column | None = None) -> Column:
+    """Whether a reader declined: by its answer, or because what the question takes for granted isn't borne out."""
+    said = F.trim(F.coalesce(answer, F.lit(""))).startswith("NOT_IN_MEMORY")
+    return said if premise_supported is None else said | ~F.coalesce(premise_supported, F.lit(True))
+
+
+def missing_users(questions: DataFrame, claims: DataFrame) -> DataFrame:
+    """uid, questions: users that are asked about and of whom nothing is remembered."""
+    return questions.join(claims.select("uid").distinct(), "uid", "left_anti").groupBy("uid").agg(F.count("*").alias("questions"))
+
+
+def askable(questions: DataFrame, claims: DataFrame) -> DataFrame:
+    """The questions of users of whom something is remembered; missing_users says how many that leaves out."""
+    return questions.join(claims.select("uid").distinct(), "uid", "left_semi")
+
+
 def judge_label(reply: Column) -> Column:
     """Whether a judge's reply says yes anywhere."""
     return F.lower(reply).contains("yes")

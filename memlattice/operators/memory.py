@@ -95,6 +95,16 @@ def contested_slots(claims: DataFrame) -> DataFrame:
     return slots_of(claims).where("n_claims >= 2")
 
 
+def largest_slots(claims: DataFrame) -> DataFrame:
+    """uid, skey, n_claims: the contested slot of each user with the most claims, the first by key among equals."""
+    return contested_slots(claims).groupBy("uid").agg(F.min(F.struct((-F.col("n_claims")).alias("n"), "skey")).alias("m")).select("uid", "m.skey", (-F.col("m.n")).alias("n_claims"))
+
+
+def top_tokens(df: DataFrame, most: int = 10) -> DataFrame:
+    """The tokens that lead to the most claims, ties by user and token."""
+    return df.orderBy(F.col("df").desc(), "uid", "stem").limit(most)
+
+
 def slot_positions(claims: DataFrame) -> DataFrame:
     """uid, skey, ckey, text, session_ord, t_event, slot_value, position: the claims of each slot in order, from 1."""
     order = Window.partitionBy("skey").orderBy("session_ord", "t_event", "ckey")

@@ -80,6 +80,18 @@ def candidates(reached: DataFrame, verdict: DataFrame, top_k: int = TOP_K) -> Da
     return converged.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*rank_order()))).where(F.col("rank") <= top_k)
 
 
+def receipts(questions: DataFrame, reached: DataFrame, historical: bool = False, top_k: int = TOP_K) -> DataFrame:
+    """qid, rank, ckey, convergence, score (4 places), anchors, historical: the top_k claims of each question among all it reaches, converged or not."""
+    ranked = reached.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*rank_order()))).where(F.col("rank") <= top_k)
+    listed = ranked.join(questions.select("qid"), "qid", "left_semi")
+    return listed.select("qid", "rank", "ckey", "convergence", F.round("score", 4).alias("score"), "anchors", F.lit(historical).alias("historical"))
+
+
+def distinct_hashes(runs: DataFrame) -> DataFrame:
+    """qid, runs, hashes: how many different fingerprints a question got over several runs (qid, run, hash); 1 says it was told the same each time."""
+    return runs.groupBy("qid").agg(F.count_distinct("run").alias("runs"), F.count_distinct("hash").alias("hashes"))
+
+
 def slot_mates(cands: DataFrame, claims: DataFrame, as_of: int | None = None, most: int = SLOT_MATES) -> DataFrame:
     """The newest other claims of the candidates' slots, at most `most` for a question; they converge on nothing."""
     seen = claims if as_of is None else claims.where(F.col("session_ord") <= as_of)

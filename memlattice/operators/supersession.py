@@ -38,6 +38,15 @@ def detect(claims: DataFrame, policy: Policy = value_changed) -> DataFrame:
     return valid.select("uid", "skey", F.col("_old").alias("older"), F.col("_new").alias("newer"), F.col("_new_ord").alias("at_session")).distinct()
 
 
+def slot_prompts(claims: DataFrame) -> DataFrame:
+    """skey, prompt: what a model is shown of each contested slot: its claims by number, oldest first, with their session and date."""
+    listed = slot_positions(claims).join(contested_slots(claims).select("skey"), "skey", "left_semi")
+    dated = F.when(F.col("t_event") > 0, F.concat(F.lit(", event "), F.col("t_event"))).otherwise("")
+    line = F.concat(F.col("position"), F.lit(". (session "), F.col("session_ord"), dated, F.lit(") "), F.col("text"))
+    lines = listed.groupBy("skey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", line.alias("line")))), lambda x: x["line"]), "\n").alias("_lines"))
+    return lines.select("skey", F.concat(F.lit("SLOT: "), F.regexp_replace("skey", r"^[^|]*\|s\|", ""), F.lit("\n\nCLAIMS, oldest first:\n"), F.col("_lines")).alias("prompt"))
+
+
 def fold_edges(edges: DataFrame, as_of: int | None = None) -> DataFrame:
     """older, newer, at_session: of each claim's edges seen by session as_of the earliest, ties by the newer's key; edges without a session are not seen."""
     seen = edges.where("at_session is not null and older is not null and newer is not null")

@@ -215,6 +215,16 @@ def span_quality(spark: SparkSession, root: str) -> DataFrame:
     return _claims(spark, root, "located", "speaker", "t_event").groupBy(F.coalesce("located", F.lit("none")).alias("located")).agg(F.count("*").alias("n"), F.count_if(F.col("speaker") == "assistant").alias("by_assistant"), F.count_if(F.col("t_event") > 0).alias("dated"))
 
 
+@query(f"WITH {checks.CLAIMS}, s AS (SELECT uid, skey, count(*) AS n_claims FROM c WHERE skey IS NOT NULL AND skey <> '' GROUP BY uid, skey HAVING count(*) >= 2) SELECT uid, skey, n_claims FROM s QUALIFY row_number() OVER (PARTITION BY uid ORDER BY n_claims DESC, skey) = 1")
+def largest_slots(spark: SparkSession, root: str) -> DataFrame:
+    return memory.largest_slots(_claims(spark, root, "uid", "skey"))
+
+
+@query(f"WITH {checks.CLAIMS}, {checks.ENTITIES}, {checks.HITS}, {checks.NAMES}, {checks.DF} SELECT uid, stem, df FROM dfs ORDER BY df DESC, uid, stem LIMIT 10")
+def top_tokens(spark: SparkSession, root: str) -> DataFrame:
+    return memory.top_tokens(token_df(spark, root))
+
+
 # Reconciliation
 
 _KEYS = checks.sql_stems("n")
@@ -243,6 +253,11 @@ def renamed_mentions(spark: SparkSession, root: str) -> DataFrame:
     return canon.rename_mentions(named, canon.reconcile(entities))
 
 
+@query(f"WITH RECURSIVE {_CANON}, cold AS (SELECT uid, a AS canon, min(b) AS cold FROM r GROUP BY uid, a) SELECT uid, canon, cold, new_canon AS warm FROM cold JOIN ren USING (uid, canon) WHERE cold <> new_canon")
+def canon_drift(spark: SparkSession, root: str) -> DataFrame:
+    return canon.canon_drift(_entities(spark, root))
+
+
 @query(f"WITH {checks.ENTITIES} SELECT uid, canon, array_to_string(aliases, ';') AS aliases FROM e")
 def entity_aliases(spark: SparkSession, root: str) -> DataFrame:
     return _entities(spark, root).select("uid", "canon", F.array_join("aliases", ";").alias("aliases"))
@@ -262,6 +277,15 @@ def supersession_detected(spark: SparkSession, root: str) -> DataFrame:
     return supersession.detect(_slotted(spark, root))
 
 
+@query(
+    f"""WITH {checks.CLAIMS}, p AS (SELECT skey, text, session_ord, t_event, row_number() OVER (PARTITION BY skey ORDER BY session_ord, t_event, ckey) AS pos, count(*) OVER (PARTITION BY skey) AS n FROM c WHERE skey IS NOT NULL AND skey <> '')
+SELECT skey, 'SLOT: ' || substr(skey, strpos(skey, '|s|') + 3) || chr(10) || chr(10) || 'CLAIMS, oldest first:' || chr(10) || string_agg(pos || '. (session ' || session_ord || CASE WHEN t_event > 0 THEN ', event ' || t_event ELSE '' END || ') ' || text, chr(10) ORDER BY pos) AS prompt
+FROM p WHERE n >= 2 GROUP BY skey"""
+)
+def slot_prompts(spark: SparkSession, root: str) -> DataFrame:
+    return supersession.slot_prompts(_slotted(spark, root))
+
+
 @query(f"WITH {checks.CLAIMS}, {_LABELS.format(k=AS_OF)} SELECT older, newer, at_session FROM f")
 def fold_edges_asof(spark: SparkSession, root: str) -> DataFrame:
     return supersession.fold_edges(_edges(spark, root), AS_OF)
@@ -320,6 +344,17 @@ def topk_claims(spark: SparkSession, root: str) -> DataFrame:
     return _ask(spark, root)[1].candidates.select("qid", "ckey", "rank")
 
 
+@query(f"WITH {checks.reached()} SELECT qid, rank, ckey, convergence, round(score, 4) AS score, array_to_string(anchors, ' ') AS anchors, false AS historical FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY convergence DESC, score DESC, t_event DESC, session_ord DESC, ckey) AS rank FROM r) WHERE rank <= 25")
+def receipts(spark: SparkSession, root: str) -> DataFrame:
+    questions, answers = _ask(spark, root)
+    return retrieval.receipts(questions, answers.reached).withColumn("anchors", F.array_join("anchors", " "))
+
+
+@query(f"WITH {checks.TURNS}, {checks.CLAIMS}, {checks.QUESTIONS} SELECT uid, count(*) AS questions FROM q WHERE uid NOT IN (SELECT uid FROM c WHERE uid IS NOT NULL) GROUP BY uid")
+def missing_users(spark: SparkSession, root: str) -> DataFrame:
+    return evaluation.missing_users(_questions(spark, root), table(spark, root, "claims"))
+
+
 @query(f"WITH {checks.evidence(AS_OF)} SELECT qid, ckey, position, status, convergence FROM ev")
 def evidence_asof(spark: SparkSession, root: str) -> DataFrame:
     return _ask(spark, root, AS_OF)[1].evidence.select("qid", "ckey", "position", "status", "convergence")
@@ -385,6 +420,14 @@ def bm25_top10(spark: SparkSession, root: str) -> DataFrame:
     return baselines.bm25(_questions(spark, root), _turns(spark, root, "uid", "session_ord", "turn_idx", "text")).select("qid", "turn", F.round("score", 6).alias("score"), "rank")
 
 
+@query(
+    f"""WITH {_BM25}, k AS (SELECT * FROM sc WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, session_ord, turn_idx, turn) <= 10)
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY session_ord, turn_idx, turn) AS position, turn, session_ord || '-' || turn_idx AS id, 'CURRENT' AS status, 0 AS highlight_start, 0 AS highlight_end FROM k"""
+)
+def bm25_spans(spark: SparkSession, root: str) -> DataFrame:
+    return baselines.as_spans(baselines.bm25(_questions(spark, root), _turns(spark, root, "uid", "session_ord", "turn_idx", "text")))
+
+
 @query(
     f"""WITH {checks.TURNS}, z AS (SELECT uid, session_ord, sum(length(text)) AS chars FROM t GROUP BY uid, session_ord)
 SELECT uid, session_ord, chars, row_number() OVER w = 1 OR sum(chars) OVER (PARTITION BY uid ORDER BY session_ord DESC ROWS UNBOUNDED PRECEDING) <= {BUDGET} AS kept FROM z WINDOW w AS (PARTITION BY uid ORDER BY session_ord DESC)"""
@@ -413,6 +456,21 @@ def benchmark_slice(spark: SparkSession, root: str) -> DataFrame:
     return evaluation.benchmark_slice(table(spark, root, "eval_items"), SLICE)
 
 
+_RUBRIC = " ".join(f"WHEN '{n}' THEN '{r.replace(chr(39), chr(39) * 2)}' || chr(10) || chr(10) || 'Question: ' || text || chr(10) || chr(10) || '{l.replace(chr(39), chr(39) * 2)}: ' || question_id || chr(10) || chr(10) || 'Reply: ' || left(text, 80) || chr(10) || chr(10) || 'Answer yes or no only.'" for n, (r, l) in evaluation.RUBRICS.items())
+
+
+@query(
+    f"""WITH j AS (SELECT *, CASE WHEN question_id LIKE '%\\_abs' ESCAPE '\\' THEN 'abstention' WHEN question_type IN ('temporal-reasoning', 'knowledge-update') THEN question_type WHEN question_type = 'preference' THEN 'single-session-preference' ELSE 'default' END AS template FROM eval_items)
+SELECT item_id, template, CASE template {_RUBRIC} END AS prompt FROM j"""
+)
+def judge_prompts(spark: SparkSession, root: str) -> DataFrame:
+    """The prompt of each test item's rubric; its id stands for the expected answer, the beginning of its text for the reply."""
+    asked = F.col("question_type")
+    kind = F.when(asked == "preference", "single-session-preference").when(asked.isin(*KINDS), asked).otherwise("multi-session")
+    items = table(spark, root, "eval_items").withColumn("template", evaluation.judge_template(kind, evaluation.is_abstention(F.col("question_id"))))
+    return items.select("item_id", "template", evaluation.judge_prompt(F.col("template"), F.col("text"), F.col("question_id"), F.substring("text", 1, 80)).alias("prompt"))
+
+
 _COVER = f"{checks.TURNS}, {checks.CLAIMS}, cov AS (SELECT uid, sid, turn_idx, EXISTS (SELECT 1 FROM c WHERE c.uid = t.uid AND c.sid = t.sid AND c.turn_idx = t.turn_idx) AS covered FROM t WHERE has_answer)"
 
 

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from memlattice.operators import baselines, canon, evaluation, memory, retrieval, supersession, upsert
+from memlattice.operators import baselines, canon, evaluation, memory, models, retrieval, supersession, upsert
 
 
 def test_upsert_and_delete(spark):
@@ -128,3 +128,28 @@ def test_rates(spark):
 def test_entities_and_stats(spark):
     e = spark.createDataFrame([("u", "u|e|A", "A", "pet", ["x"], True, 1), ("u", "u|e|A", "A", None, None, False, 2), ("u", "k", None, None, None, False, 2)], "uid string, ekey string, canon string, etype string, aliases array<string>, existing boolean, extra int")
     assert [tuple(r) for r in memory.entities_of(e).collect()] == [("u", "u|e|A", "A", "pet", ["x"], True)]
+
+
+def test_what_readers_and_judges_say(spark):
+    df = spark.createDataFrame([("NOT_IN_MEMORY.", True), (" yes", True), ("yes", False), (None, None)], "a string, premise boolean")
+    assert [r[0] for r in df.select(evaluation.not_in_memory(F.col("a"), F.col("premise"))).collect()] == [True, False, True, False]
+    prompt = spark.createDataFrame([("abstention",), ("default",)], "t string").select(evaluation.judge_prompt(F.col("t"), F.lit("Q"), F.lit("A"), F.lit("R")).alias("p")).collect()
+    assert "Why it can't be answered: A" in prompt[0].p and "Expected answer: A\n\nReply: R" in prompt[1].p
+    assert [r[0] for r in spark.createDataFrame([("Yesterday",), ("no",)], "r string").select(evaluation.judge_label(F.col("r"))).collect()] == [True, False]
+
+
+def test_runs_latency_and_cost(spark):
+    runs = spark.createDataFrame([("q", 1, "h"), ("q", 2, "h"), ("p", 1, "h"), ("p", 2, "x")], "qid string, run int, hash string")
+    assert {(r.qid, r.runs, r.hashes) for r in retrieval.distinct_hashes(runs).collect()} == {("q", 2, 1), ("p", 2, 2)}
+    rows = spark.createDataFrame([("t", False, "ANSWER", None, True, 1.0), ("t", False, "ABSENT", "A1_no_anchors", False, 4.0)], "question_type string, is_abstention boolean, verdict string, reason string, session_hit boolean, latency_ms double")
+    assert {r.latency_p50 for r in evaluation.gate_report(rows).collect()} == {2.5}
+    cache = spark.createDataFrame([("read", "k", "m", "v", 1_000_000, 2_000_000), ("read", "k", "other", "v", 5, 5)], "kind string, key string, model string, value string, input_tokens long, output_tokens long")
+    prices = spark.createDataFrame([("m", 0.5, 2.0)], "model string, input double, output double")
+    assert {(r.model, r.cost) for r in models.usage(cache, prices).collect()} == {("m", 4.5), ("other", 0.0)}
+
+
+def test_users_nothing_is_remembered_of(spark):
+    q = spark.createDataFrame([("q1", "a"), ("q2", "b"), ("q3", "b")], "qid string, uid string")
+    claims = spark.createDataFrame([("a",), ("a",)], "uid string")
+    assert [tuple(r) for r in evaluation.missing_users(q, claims).collect()] == [("b", 2)]
+    assert [r.qid for r in evaluation.askable(q, claims).collect()] == ["q1"]
