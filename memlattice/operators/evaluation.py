@@ -100,6 +100,7 @@ def session_hits(questions: DataFrame, evidence: DataFrame, answers: DataFrame)
 
 def judge_template(question_type: Column, abstention: Column) -> Column:
     """Which rubric judges a question; an unknown type is an error."""
+    # The kinds of questions that are judged.
     plain = question_type.isin("single-session-user", "single-session-assistant", "multi-session")
     own = question_type.isin("temporal-reasoning", "knowledge-update", "single-session-preference")
     return F.when(abstention, "abstention").when(own, question_type).when(plain, "default").otherwise(F.raise_error(F.concat(F.lit("no rubric for question type "), question_type)))

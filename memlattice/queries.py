@@ -20,8 +20,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 #: The session that as-of queries look from, the user that deletes remove, and the sizes of budgets and slices.
 AS_OF, GONE, BUDGET, SLICE = 10, "team_7e3c", 20_000, 60
-#: What prefix scans look for; the kinds that questions are sorted into, by session.
+#: What prefix scans look for. Questions are sorted into kinds by session.
 PREFIX = "a"
+# The kinds of questions.
 KINDS = ("knowledge-update", "multi-session", "single-session-assistant", "single-session-preference", "single-session-user", "temporal-reasoning")
 
 QUERIES: dict[str, Query] = {}

@@ -11,35 +11,35 @@ def stems_of(spark, *texts):
 
 
 def test_stems(spark):
-    got = stems_of(spark, "I just got my car serviced for the first time", "Wells Fargo's pre-approval was $450,000", None, "", "bus analysis gps class constructor", "hamsters boxes companies children people knives", "moved running serviced")
-    assert got[0] == ["car", "servic", "first", "tim"]
-    assert got[1] == ["well", "fargo", "pre", "approval", "450", "000"]
+    got = stems_of(spark, "We were planting tulips and the smallest one died", "Brother's half-price ladder: 12,500 yen", None, "", "virus oasis kiss abs glass", "turtles foxes stories wives geese leaves", "hoping stopped noticed")
+    assert got[0] == ["plant", "tulip", "smallest", "one", "died"]
+    assert got[1] == ["brother", "half", "pric", "ladder", "12", "500", "yen"]
     assert got[2] == got[3] == []
-    assert got[4] == ["bus", "analysis", "gps", "class", "constructor"]
-    assert got[5] == ["hamster", "box", "company", "child", "person", "knif"]
-    assert got[6] == ["mov", "run", "servic"]
+    assert got[4] == ["virus", "oasis", "kiss", "abs", "glass"]
+    assert got[5] == ["turtl", "fox", "story", "wif", "goos", "leaf"]
+    assert got[6] == ["hop", "stop", "notic"]
     assert len(STOPWORDS) == 134 and len(IRREGULAR) == 12
 
 
 def test_stems_agree_and_keep_repeats(spark):
-    assert stems_of(spark, "note notes NOTE's") == [["not", "not", "not"]]
+    assert stems_of(spark, "cape capes CAPE's") == [["cap", "cap", "cap"]]
 
 
 def test_claim_tokens(spark):
-    df = spark.createDataFrame([("the car " + " ".join(f"word{i}x" for i in range(80)), ["vehicle", None, "automobile"], None)], "t string, k array<string>, n array<string>")
+    df = spark.createDataFrame([("the boat " + " ".join(f"word{i}x" for i in range(80)), ["dinghy", None, "sailboats"], None)], "t string, k array<string>, n array<string>")
     got = df.select(claim_tokens(F.col("t"), F.col("k"), F.col("n"))).first()[0]
-    assert got[:3] == ["vehicl", "automobil", "car"] and len(got) == 24
+    assert got[:3] == ["dinghy", "sailboat", "boat"] and len(got) == 24
 
 
 def test_match_keys(spark):
-    df = spark.createDataFrame([("the hamsters", ["Hamster", "", None])], "c string, a array<string>")
-    assert df.select(match_keys(F.col("c"), F.col("a"))).first()[0] == ["hamster"]
+    df = spark.createDataFrame([("the red kettles", ["Kettle red", "", None])], "c string, a array<string>")
+    assert df.select(match_keys(F.col("c"), F.col("a"))).first()[0] == ["kettl red"]
 
 
 def test_locate_span(spark):
-    rows = [("x my car serviced", "my car serviced"), ("we got\n    my car  serviced", "my car serviced"), ("see **Zillow**: x", "Zillow: x"), ("abc", "motorcycle"), ("abc", ""), ("abc", "   "), (None, "x"), ("abc", None)]
+    rows = [("y the oven broke", "the oven broke"), ("so\n\t the oven  broke", "the oven broke"), ("try _Linseed_ `oil` now", "Linseed oil now"), ("abc", "teapot"), ("abc", ""), ("abc", "   "), (None, "x"), ("abc", None)]
     got = [r[0] for r in spark.createDataFrame(rows, "t string, q string").select(locate_span(F.col("t"), F.col("q"))).collect()]
-    assert [tuple(g) if g else None for g in got] == [(2, 17, "exact"), (11, 27, "normalised"), (6, 17, "markdown"), None, None, None, None, None]
+    assert [tuple(g) if g else None for g in got] == [(2, 16, "exact"), (5, 20, "normalised"), (5, 23, "markdown"), None, None, None, None, None]
 
 
 def test_excerpt_is_clamped(spark):
