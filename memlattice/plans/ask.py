@@ -1,4 +1,4 @@
-"""From questions to evidence: the whole lookup as one lazy plan over any number of questions."""
+"""From questions to evidence: one lookup over any number of questions, its shared stages written as they are made."""
 
 from __future__ import annotations
 
