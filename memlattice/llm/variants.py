@@ -272,7 +272,8 @@ def radius_join(names: DataFrame, block: list[str], name: str, radius: int = RAD
         b = cells.select(*keys, F.col("_d").alias("_db"), F.col(name).alias("name_b"))
         # swapped neighbours are two changes of Levenshtein's
         close = (F.col("name_a") < F.col("name_b")) & (F.abs(F.col("_da") - F.col("_db")) <= radius) & (F.abs(F.length("name_a") - F.length("name_b")) <= radius) & (F.levenshtein("name_a", "name_b", 2 * radius) >= 0)
-        return a.join(b, keys).where(close).select(*block, "name_a", "name_b")
+        # what explode makes of a small table isn't in its estimated size: without the hint the driver may be sent all of it
+        return a.join(b.hint("merge"), keys).where(close).select(*block, "name_a", "name_b")
 
     found = pairs(leaves.where(F.col("_n") <= CROWDED), on)
     crowded = leaves.where(F.col("_n") > CROWDED)
@@ -298,7 +299,8 @@ def given_meanings(words: DataFrame) -> DataFrame:
     weight = F.col("n") + F.col("prior")
     targets = counted.where(weight >= MISSPELT).select(F.col("given").alias("v"), weight.alias("m"), F.explode(_shortened(F.col("given"), F.lit(RADIUS))).alias("_key"))
     likely = (F.col("m") >= MISSPELT * F.col("n")) & (F.col("given") != F.col("v")) & ((F.least(F.length("v"), F.length("given")) > 3) | (F.substring("v", 1, 1) == F.substring("given", 1, 1)))
-    pairs = open_words.join(targets, "_key").where(likely & (F.abs(F.length("given") - F.length("v")) <= allowed) & (F.levenshtein("given", "v", 4) >= 0)).select("given", "v").distinct()
+    # many times the table that they are drawn from, which the estimate of their size doesn't know: not to be sent to the driver
+    pairs = open_words.join(targets.hint("merge"), "_key").where(likely & (F.abs(F.length("given") - F.length("v")) <= allowed) & (F.levenshtein("given", "v", 4) >= 0)).select("given", "v").distinct()
     near = pairs.withColumn("d", _slips(F.col("given"), F.col("v"))).where(F.col("d") <= allowed)
     best = near.groupBy("given").agg(F.min("d").alias("d"))
     meant = near.join(best, ["given", "d"]).select("given", "v").unionByName(counted.where("prior > 0").select("given", F.col("given").alias("v")))

@@ -120,3 +120,11 @@ def test_radius_join_misses_no_pair(spark, size, crowded, monkeypatch):
     want = {p: int(d) for p, d in zip(pairs, slip_distances(*map(list, zip(*pairs, strict=True))), strict=True) if d <= 2}
     got = [((r.name_a, r.name_b), r.slips) for r in radius_join(df, ["b"], "n").where("b = 'x'").collect()]
     assert len(got) == len(want) and dict(got) == want
+
+
+def test_shortened_words_are_not_sent_to_the_driver(spark):
+    """Many times the size of the table they are drawn from, which Spark doesn't foresee."""
+    words = spark.createDataFrame([(f"{a}{b}lomira", 9) for a in "bdfgk" for b in "aeiou"], "given string, n long")
+    plan = given_meanings(words)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "_key" in line]
+    assert joins and all("merge" in line for line in joins)
