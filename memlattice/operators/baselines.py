@@ -6,47 +6,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlattice.functions.text import content_words, stem
-from memlattice.runtime import materialize
+from memlattice.operators import fold
 
 # Fixed values.
 K1, B, TOP = 1.5, 0.75, 10
 
 
-def documents_of(turns: DataFrame) -> DataFrame:
-    """uid, turn, session_ord, turn_idx, words, doc_len: the content words of each turn."""
-    return turns.select("uid", "turn", "session_ord", "turn_idx", content_words(F.col("text")).alias("words")).withColumn("doc_len", F.size("words"))
-
-
-def postings(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """uid, turn, session_ord, turn_idx, doc_len, stem, tf of the stems that are asked for (uid, stem); only those are shuffled."""
-    worded = docs.select("uid", "turn", "session_ord", "turn_idx", "doc_len", F.explode("words").alias("_w")).withColumn("stem", stem(F.col("_w"))).drop("_w")
-    return worded.join(asked, ["uid", "stem"], "left_semi").groupBy("uid", "turn", "session_ord", "turn_idx", "doc_len", "stem").agg(F.count("*").alias("tf"))
-
-
-def corpus_stats(docs: DataFrame) -> DataFrame:
-    """uid, n_docs, avg_len (1 if all are empty)."""
-    stats = docs.groupBy("uid").agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len"))
-    return stats.withColumn("avg_len", F.when(F.col("avg_len") > 0, F.col("avg_len")).otherwise(F.lit(1.0)))
-
-
 def bm25(questions: DataFrame, turns: DataFrame, k: int = TOP) -> DataFrame:
     """qid, turn, session_ord, turn_idx, score, rank: the k best turns of each question among its user's; only scores above 0.
 
-    Questions' distinct stems meet postings of their user; ties go to the
-    earlier turn. Turns are read into words once, and only postings of stems
-    that some question asks for go on.
+    Questions' distinct stems meet postings of their user (fold.ranked_turns);
+    scores are summed in the stems' order, and ties go to the earlier turn.
     """
-    docs = materialize(documents_of(turns.join(questions.select("uid").distinct(), "uid", "left_semi")), "docs")
-    terms = materialize(questions.select("qid", "uid", F.explode(F.array_distinct(content_words(F.col("question")))).alias("_w")).select("qid", "uid", stem(F.col("_w")).alias("stem")).distinct(), "terms")
-    found = materialize(postings(docs, terms.select("uid", "stem").distinct()), "postings")
-    df = found.groupBy("uid", "stem").agg(F.count("*").alias("df"))
-    weighed = found.join(df, ["uid", "stem"]).join(corpus_stats(docs), "uid")
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
-    scored = terms.join(weighed.withColumn("_p", part), ["uid", "stem"]).groupBy("qid", "turn", "session_ord", "turn_idx").agg(F.round(F.sum("_p"), 9).alias("score"))
-    summed = scored.where("score > 0")
-    best = Window.partitionBy("qid").orderBy(F.col("score").desc(), "session_ord", "turn_idx", "turn")
-    return summed.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    words = lambda c: F.explode_outer(content_words(F.col(c))).alias("_w")
+    said = turns.select("uid", "turn", "session_ord", "turn_idx", words("text"))
+    docs = said.groupBy("turn", "uid", "session_ord", "turn_idx").agg(F.collect_list(stem(F.col("_w"))).alias("terms"))
+    asked = questions.select("qid", "uid", words("question")).groupBy("qid", "uid").agg(F.collect_set(stem(F.col("_w"))).alias("terms"))
+    docs = docs.select("uid", F.col("turn").alias("id"), "terms", F.lit(1).alias("hop"), F.col("session_ord").alias("ord"), F.col("turn_idx").alias("event"))
+    found = fold.ranked_turns(fold.gathered(asked.select("uid", F.col("qid").alias("id"), "terms"), docs=docs), K1, B, k)
+    kinds = dict(turns.dtypes)
+    return found.select("qid", "turn", *[F.col(c).cast(kinds[c]).alias(c) for c in ("session_ord", "turn_idx")], "score", "rank")
 
 
 def as_spans(found: DataFrame) -> DataFrame:
