@@ -77,6 +77,16 @@ def mentions_of(claims: DataFrame) -> DataFrame:
     return claims.select("ckey", F.explode(F.array_distinct("mentions")).alias("ekey")).where("ekey is not null").select("ekey", "ckey")
 
 
+def docs_of(claims: DataFrame, entities: DataFrame) -> DataFrame:
+    """uid, id, terms, hop, ord, event, skey: which terms lead to which claims, in one hop by a claim's tokens, in two by the names of an entity it mentions (uid is the entity's)."""
+    ranked = [F.col("ckey").alias("id"), F.col("session_ord").alias("ord"), F.col("t_event").alias("event"), "skey"]
+    own = tokens_of(claims, entities).join(claims.select("ckey", "session_ord", "t_event", "skey"), "ckey").select("uid", "tokens", F.lit(1).alias("hop"), *ranked)
+    named = entities.select("uid", "ekey", F.array_distinct(F.flatten(F.transform(F.concat(F.array("canon"), "aliases"), stems))).alias("tokens"))
+    there = claims.select("ckey", "session_ord", "t_event", "skey", F.explode(F.array_distinct("mentions")).alias("ekey")).where("ekey is not null and ckey is not null")
+    by_name = there.join(named, "ekey").select("uid", "tokens", F.lit(2).alias("hop"), *ranked)
+    return own.unionByName(by_name).withColumnRenamed("tokens", "terms")
+
+
 def token_df(hits: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """uid, stem, df: claims that each token leads to; tokens that only name entities have 0."""
     counted = hits.groupBy("uid", "stem").agg(F.count_distinct("ckey").alias("df"))

@@ -102,6 +102,19 @@ def slot_mates(cands: DataFrame, claims: DataFrame, as_of: int | None = None, mo
     return kept.select("qid", *CLAIM, F.lit(0).alias("convergence"), F.lit(0).alias("hops"), F.lit(0.0).alias("score"), F.array().cast("array<string>").alias("anchors"))
 
 
+def newest_of_slots(claims: DataFrame, as_of: int | None, most: int) -> DataFrame:
+    """The claims seen of each slot, its `most` newest: slot mates of a question are among those if `most` is the mates and candidates that it can have."""
+    seen = claims if as_of is None else claims.where(F.col("session_ord") <= as_of)
+    newest = Window.partitionBy("skey").orderBy(F.col("session_ord").desc(), "ckey")
+    return seen.where("skey is not null and skey <> ''").select(*CLAIM).withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= most).drop("_n")
+
+
+def told_at(resolved: Column, top: Column) -> Column:
+    """ANSWER, or why there is none, by the anchors resolved and the highest convergence."""
+    threshold = F.least(F.lit(THRESHOLD), F.greatest(F.lit(1), resolved))
+    return F.when(resolved == 0, "A1_no_anchors").when(top < threshold, "A2_no_convergence").otherwise("ANSWER")
+
+
 def evidence(cands: DataFrame, mates: DataFrame, edges: DataFrame, as_of: int | None = None, historical: bool = False) -> DataFrame:
     """The evidence of each question in reading order (position from 1): current before superseded unless the question is historical, then by date, the undated last."""
     both = cands.drop("rank").unionByName(mates)
@@ -132,9 +145,7 @@ def trajectory(reached: DataFrame, points: DataFrame) -> DataFrame:
     rows = came.unionByName(tops).unionByName(asked).groupBy("qid", "k").agg(F.sum("_new").alias("_new"), F.max("_top").alias("_top"), F.max("_point").alias("_point"))
     upto = Window.partitionBy("qid").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     seen = rows.withColumn("_resolved", F.sum("_new").over(upto)).withColumn("top_convergence", F.max("_top").over(upto))
-    threshold = F.least(F.lit(THRESHOLD), F.greatest(F.lit(1), "_resolved"))
-    verdict = F.when(F.col("_resolved") == 0, "A1_no_anchors").when(F.col("top_convergence") < threshold, "A2_no_convergence").otherwise("ANSWER")
-    return seen.where("_point").select("qid", "k", verdict.alias("verdict"), "top_convergence")
+    return seen.where("_point").select("qid", "k", told_at(F.col("_resolved"), F.col("top_convergence")).alias("verdict"), "top_convergence")
 
 
 def belief_changes(labels: DataFrame, by: list[str], order: str, label: str) -> DataFrame:

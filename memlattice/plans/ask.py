@@ -9,53 +9,70 @@ from pyspark.sql import functions as F
 
 from memlattice.functions.keys import citation_id
 from memlattice.functions.text import excerpt
-from memlattice.operators import memory, retrieval
+from memlattice.operators import fold, memory, retrieval, supersession
 from memlattice.runtime import materialize
 
 
 @dataclass
 class Memory:
-    """The tables that lookups read. Token tables are written once, as every lookup reads them several times."""
+    """The tables that lookups read: claims, edges, and docs (uid, id, terms, hop and what a claim is ranked by): which terms lead to which claims of whom."""
 
     claims: DataFrame
     edges: DataFrame
-    hits: DataFrame
-    names: DataFrame
-    mentions: DataFrame
-    df: DataFrame
+    docs: DataFrame
 
     @classmethod
     def of(cls, claims: DataFrame, entities: DataFrame, edges: DataFrame) -> Memory:
         """From claims, entities and edges that are clean already."""
-        hits, names = materialize(memory.hits_of(claims, entities), "hits"), materialize(memory.names_of(entities), "names")
-        return cls(claims, edges, hits, names, memory.mentions_of(claims), materialize(memory.token_df(hits, names), "df"))
+        return cls(claims, edges, memory.docs_of(claims, entities))
 
 
 @dataclass
 class Answers:
-    """What a batch of questions was told, stage by stage."""
+    """What a batch of questions was told, stage by stage. reached has a row for each pair of question and claim and is worked out when it is read; best has each question's top_k of it."""
 
     reached: DataFrame
+    best: DataFrame
     verdicts: DataFrame
     candidates: DataFrame
     evidence: DataFrame
     hashes: DataFrame
 
 
+def asked_of(questions: DataFrame, anchors: DataFrame) -> DataFrame:
+    """uid, id, terms: each question with its anchors."""
+    terms = anchors.groupBy("qid").agg(F.collect_set("stem").alias("terms"))
+    return questions.select("uid", "qid").join(terms, "qid", "left").select("uid", F.col("qid").alias("id"), "terms")
+
+
 def ask(questions: DataFrame, of: Memory, as_of: int | None = None, historical: bool = False, top_k: int = retrieval.TOP_K, max_hops: int = 2, expansions: DataFrame | None = None) -> Answers:
     """Answers for questions (qid, uid, question). With as_of, the memory is what it was after that session, verdict and ranks included.
 
     Questions without content words, and those of users without claims, are
-    told A1_no_anchors.
+    told A1_no_anchors. No table has a row for each claim that a question reaches.
     """
     anchors = materialize(retrieval.anchors_of(questions, expansions), "anchors")
-    led = retrieval.reach(anchors, of.hits, of.names, of.mentions, max_hops)
-    reached = materialize(retrieval.converge(questions, led, of.claims, of.df, as_of), "reached")
-    verdict = retrieval.verdicts(questions, anchors, reached)
-    cands = materialize(retrieval.candidates(reached, verdict, top_k), "candidates")
-    mates = retrieval.slot_mates(cands, of.claims, as_of)
-    found = retrieval.evidence(cands, mates, of.edges, as_of, historical)
-    return Answers(reached, verdict, cands, found, retrieval.hashes(questions, found))
+    asked, docs = asked_of(questions, anchors), of.docs.where(F.col("hop") <= max_hops)
+    labels = supersession.fold_edges(of.edges, as_of).select(F.col("older").alias("id"), F.col("newer").alias("superseded_by"), "at_session")
+    slots = retrieval.newest_of_slots(of.claims, as_of, retrieval.SLOT_MATES + top_k).select("skey", F.col("ckey").alias("id"), F.col("session_ord").alias("ord"), F.col("t_event").alias("event"))
+    users = docs.where("skey is not null and skey <> ''").select("uid", "skey").distinct()
+    rows = fold.gathered(asked, docs=docs.join(labels, "id", "left"), slots=slots.join(users, "skey").join(labels, "id", "left"))
+    kinds = dict(of.claims.dtypes) | {"at_session": dict(of.edges.dtypes)["at_session"]}
+    told = materialize(fold.typed(fold.lookups(rows, as_of, historical, top_k, retrieval.SLOT_MATES, retrieval.THRESHOLD), kinds), "told")
+    best = told.where("rank is not null").drop("position", "superseded_by", "at_session", "found", "hash")
+    verdict = retrieval.verdicts(questions, anchors, told.where("rank = 1").select("qid", "convergence", F.col("found").alias("anchors")))
+    evidence = told.where("position is not null").withColumn("status", F.when(F.col("superseded_by").isNull(), "CURRENT").otherwise("SUPERSEDED"))
+    hashes = questions.select("qid").join(told.where("rank = 1").select("qid", "hash"), "qid", "left").select("qid", F.coalesce("hash", F.sha2(F.lit(""), 256)).alias("hash"))
+    reached = fold.typed(fold.reached_all(fold.gathered(asked, docs=docs), as_of), kinds)
+    # the candidates are those of the best that are evidence
+    return Answers(reached, best, verdict, told.where("rank is not null and position is not null").select(*best.columns), evidence.drop("rank", "found", "hash"), hashes)
+
+
+def trajectory(questions: DataFrame, of: Memory, sessions: DataFrame) -> DataFrame:
+    """qid, k, verdict, top_convergence: what each question would have been told at each session k of its user (uid, k)."""
+    rows = fold.gathered(asked_of(questions, retrieval.anchors_of(questions)), docs=of.docs, points=sessions.select("uid", F.col("k").alias("ord")))
+    seen = fold.over_sessions(rows)
+    return seen.select("qid", F.col("k").cast(dict(sessions.dtypes)["k"]).alias("k"), retrieval.told_at(F.col("resolved"), F.col("top_convergence")).alias("verdict"), "top_convergence")
 
 
 def hydrate(evidence: DataFrame, claims: DataFrame, deliveries: DataFrame) -> DataFrame:

@@ -71,9 +71,14 @@ def _questions(spark: SparkSession, root: str) -> DataFrame:
     return asked.select(F.col("turn").alias("qid"), "uid", "sid", F.col("text").alias("question"), F.element_at(F.array(*[F.lit(k) for k in KINDS]), (F.pmod("session_ord", F.lit(len(KINDS))) + 1).cast("int")).alias("question_type"), evaluation.is_abstention(F.col("uid")).alias("is_abstention"))
 
 
+def _memory(spark: SparkSession, root: str) -> ask.Memory:
+    return ask.Memory.of(_claims(spark, root, "uid", "skey", "text", "session_ord", "t_event", "keywords", "mentions"), _entities(spark, root), _edges(spark, root))
+
+
 def _ask(spark: SparkSession, root: str, as_of: int | None = None) -> tuple[DataFrame, ask.Answers]:
     questions = _questions(spark, root)
-    return questions, ask.ask(questions, ask.Memory.of(_claims(spark, root, "uid", "skey", "text", "session_ord", "t_event", "keywords", "mentions"), _entities(spark, root), _edges(spark, root)), as_of)
+    return questions, ask.ask(questions, _memory(spark, root), as_of)
+
 
 
 # Histories
@@ -348,7 +353,7 @@ def topk_claims(spark: SparkSession, root: str) -> DataFrame:
 @query(f"WITH {checks.reached()} SELECT qid, rank, ckey, convergence, round(score, 4) AS score, array_to_string(anchors, ' ') AS anchors, false AS historical FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY convergence DESC, score DESC, t_event DESC, session_ord DESC, ckey) AS rank FROM r) WHERE rank <= 25")
 def receipts(spark: SparkSession, root: str) -> DataFrame:
     questions, answers = _ask(spark, root)
-    return retrieval.receipts(questions, answers.reached).withColumn("anchors", F.array_join("anchors", " "))
+    return retrieval.receipts(questions, answers.best.drop("rank")).withColumn("anchors", F.array_join("anchors", " "))
 
 
 @query(f"WITH {checks.TURNS}, {checks.CLAIMS}, {checks.QUESTIONS} SELECT uid, count(*) AS questions FROM q WHERE uid NOT IN (SELECT uid FROM c WHERE uid IS NOT NULL) GROUP BY uid")
