@@ -393,10 +393,8 @@ SELECT qid, k, CASE WHEN coalesce(resolved, 0) = 0 THEN 'A1_no_anchors' WHEN top
 )
 def trajectory(spark: SparkSession, root: str) -> DataFrame:
     """What each question would have been told as of every session of its user."""
-    questions, answers = _ask(spark, root)
     sessions = _turns(spark, root, "uid", "session_ord").select("uid", F.col("session_ord").alias("k")).distinct()
-    points = questions.select("qid", "uid").join(sessions, "uid").select("qid", "k")
-    return retrieval.trajectory(answers.reached, points)
+    return ask.trajectory(_questions(spark, root), _memory(spark, root), sessions)
 
 
 @query(
