@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from memlattice import checks
 from memlattice.functions import dates, keys
 from memlattice.functions.text import locate_span, stems
-from memlattice.operators import baselines, canon, evaluation, memory, retrieval, supersession, upsert
+from memlattice.operators import baselines, canon, evaluation, fold, memory, retrieval, supersession, upsert
 from memlattice.operators.presence import snapshot_history
 from memlattice.operators.slot_history import slot_history
 from memlattice.plans import ask
@@ -80,6 +80,12 @@ def _ask(spark: SparkSession, root: str, as_of: int | None = None) -> tuple[Data
     return questions, ask.ask(questions, _memory(spark, root), as_of)
 
 
+def _reached(spark: SparkSession, root: str, max_hops: int = 2) -> DataFrame:
+    """A row for each pair of question and claim that it reaches, as it is written."""
+    questions = _questions(spark, root)
+    asked = ask.asked_of(questions, retrieval.anchors_of(questions))
+    return fold.reached_all(fold.gathered(asked, docs=_memory(spark, root).docs.where(F.col("hop") <= max_hops)))
+
 
 # Histories
 
@@ -330,14 +336,12 @@ def slot_drift(spark: SparkSession, root: str) -> DataFrame:
 
 @query(f"WITH {checks.reached()} SELECT qid, ckey, convergence, hops, round(score, 6) AS score, array_to_string(anchors, ' ') AS anchors FROM r")
 def convergence(spark: SparkSession, root: str) -> DataFrame:
-    return _ask(spark, root)[1].reached.select("qid", "ckey", "convergence", "hops", F.round("score", 6).alias("score"), F.array_join("anchors", " ").alias("anchors"))
+    return _reached(spark, root).select("qid", "ckey", "convergence", "hops", F.round("score", 6).alias("score"), F.array_join("anchors", " ").alias("anchors"))
 
 
 @query(f"WITH {checks.reached()} SELECT qid, ckey, count(*) AS convergence FROM one WHERE hops = 1 GROUP BY qid, ckey")
 def one_hop_convergence(spark: SparkSession, root: str) -> DataFrame:
-    questions = _questions(spark, root)
-    led = retrieval.reach(retrieval.anchors_of(questions), memory.hits_of(_worded(spark, root), _entities(spark, root)), None, None, max_hops=1)
-    return led.groupBy("qid", "ckey").agg(F.count_distinct("stem").alias("convergence"))
+    return _reached(spark, root, max_hops=1).select("qid", "ckey", F.col("convergence").cast("bigint").alias("convergence"))
 
 
 @query(f"WITH {checks.reached(AS_OF)} SELECT qid, resolved, threshold, top_convergence, CASE WHEN reason IS NULL THEN 'ANSWER' ELSE 'ABSENT' END AS verdict, reason, array_to_string(unresolved, ' ') AS unresolved FROM v")
