@@ -4,19 +4,18 @@ Fixed limits: for each source, the hazard of a text to end at exactly n
 characters, among those that reach n, is held against the hazards around n;
 lengths whose excess survives false-discovery control are limits, and there an
 unfinished ending is a cut, whatever its words. Elsewhere no limit explains the
-end of a text, and only its words can tell: a model of sentence endings, fitted
-on a bounded sample of the corpus, says how likely the last words end a sentence
-and how likely the last word is whole. Closing lines that many texts share are
-counted over all texts.
+end of a text, and only its words can tell: a model of sentence endings (endings)
+says how likely the last words end a sentence and how likely the last word is
+whole. What it counts, and the closing lines that many texts share, are counted
+over all texts.
 """
 
 from __future__ import annotations
 
 import math
-import pickle
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from memlattice.llm.endings import ELLIPSIS, ORDER, EndingModel, last_tokens, whole_endings
 from memlattice.runtime import materialize
 
 #: Lengths on either side that a length is held against, and the false discovery rate.
@@ -32,23 +32,12 @@ NEIGHBOURS, FDR = 40, 0.01
 LEAST_TEXTS, LEAST_RATIO = 4, 4.0
 #: At a limit at least this share of the texts ends with nothing that closes them; a length that many whole texts happen to have is none.
 LEAST_OPEN = 0.4
-#: Texts (each of at most SAMPLE_CHARS characters) that the model of endings is fitted on; nothing else is sampled.
-SAMPLE_TEXTS, SAMPLE_CHARS = 8_000, 20_000
 #: A last line of at most so many characters is a closing formula if that share of all different texts (and three at least) ends with it, so there are at most 1 / FORMULA_SHARE.
 FORMULA_CHARS, FORMULA_SHARE = 40, 0.0004
-#: Words met at least so often in the sample stand for themselves, others for their shape.
-KNOWN = 12
-#: Longest word n-gram of the model.
-ORDER = 6
-#: How much rarer a cut inside the last word is than a whole sentence without a full stop that ends in the same letters.
-INSIDE = 0.05
 #: Below this probability of being a whole ending, a text that doesn't end at a limit counts as cut; one that is marked as broken off, below the other.
 WHOLE, WHOLE_MARKED = 0.3, 0.6
 
-_TOKEN = re.compile(r"\n|[^\W_]+(?:['’][^\W_]+)*|[.!?…。！？]+[\"'”’»)\]]*(?=\s|$)|[^\w\s]|_")
-_END = re.compile(r"[.!?…。！？]+[\"'”’»)\]]*$")
 _STOPPED = re.compile(r"[.!?。！？][\"'”’»)\]*_]*$")
-_ELLIPSIS = re.compile(r"\s*(?:\.{3,}|…)$")
 _WRAPPED = re.compile(r"(?:</?[A-Za-z][\w-]*>|\"?\s*[}\]]+|\"\s*[,;]?)\s*$")
 _TRAILER = re.compile(r"\n\s*(?:-{2,}|={2,}|\*{3,}|_{3,})\s*\n?[^\n.!?]{0,60}$")
 _CUT_NOTE = re.compile(r"\s*[\[(<](?:\.{3}|…|\w+ )*(?:truncated|cut|snip|more|continued|gekürzt|suite|sigue)[^\])>]{0,30}[\])>]$", re.IGNORECASE)
@@ -58,144 +47,16 @@ _SENTENCE = re.compile(r"\n|(?<=[.!?…])\s+")
 _NUMBERED = re.compile(r"^\s*\d+[.)]\s+\S+$")
 
 
-def shape(word: str, known) -> str:
-    """A word, or what stands for it: its kind where it is rare."""
-    if word.isdigit():
-        return "#"
-    if word in known or not word[0].isalnum():
-        return word
-    if any(c.isdigit() for c in word):
-        return "a#"
-    return "Aa" if word[0].isupper() else "aa"
-
-
-def _last_tokens(text: str) -> list[str]:
-    """The last ORDER tokens or more of a text, with the beginning of the text as a line break: as many characters are read as that takes."""
-    reach = 128
-    while reach < len(text):
-        found = _TOKEN.findall(text, len(text) - reach)
-        if len(found) > ORDER + 1:
-            return found[1:]
-        reach *= 4
-    return ["\n", *_TOKEN.findall(text)]
-
-
-class EndingModel:
-    """How sentences end: counts of word n-grams with their ends, of word endings, and of common last lines."""
-
-    def __init__(self) -> None:
-        self.known: set[str] = set()
-        self.grams: list[dict[tuple, list[int]]] = [{} for _ in range(ORDER)]
-        self.next_words: dict[tuple, dict[str, int]] = {}
-        self.suffixes: dict[str, list[int]] = {}
-        self.formulas: set[str] = set()
-
-    @classmethod
-    def fit(cls, texts: list[str]) -> EndingModel:
-        self = cls()
-        tokens = [["\n", *_TOKEN.findall(t), "\n"] for t in texts]
-        vocabulary = Counter(w for line in tokens for w in line)
-        self.known = {w for w, n in vocabulary.items() if n >= KNOWN}
-        grams: list[dict[tuple, list[int]]] = [defaultdict(lambda: [0, 0]) for _ in range(ORDER)]
-        following: dict[tuple, Counter] = defaultdict(Counter)
-        for line in tokens:
-            row = [shape(w, self.known) for w in line]
-            # the end of the text itself is what is in question: its last word teaches nothing
-            for k in range(1, len(row) - 2):
-                word = row[k]
-                if word == "\n" or _END.match(word):
-                    continue
-                ends = row[k + 1] == "\n" or bool(_END.match(row[k + 1]))
-                for n in range(ORDER):
-                    if k - n >= 0:
-                        count = grams[n][tuple(row[k - n : k + 1])]
-                        count[0] += ends
-                        count[1] += 1
-                        if n and row[k] == word and word[0].isupper():  # a known name is also any name
-                            count = grams[n][(*row[k - n : k], "Aa")]
-                            count[0] += ends
-                            count[1] += 1
-                following[(row[k - 1],)][word] += 1
-                if k > 1:
-                    following[(row[k - 2], row[k - 1])][word] += 1
-        self.grams = [{g: c for g, c in table.items() if c[1] >= 3 or not n} for n, table in enumerate(grams)]
-        self.next_words = {c: {w: n for w, n in words.items() if n >= 2} for c, words in following.items() if sum(words.values()) >= 3}
-        suffixes: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-        for word in vocabulary:
-            if word.isalpha() and len(word) > 3:
-                low = word.lower()
-                for k in range(2, len(low) + 1):
-                    for width in (3, 4, 5):
-                        if k >= width:
-                            count = suffixes[low[k - width : k]]
-                            count[0] += k == len(low)
-                            count[1] += 1
-        self.suffixes = {s: c for s, c in suffixes.items() if c[1] >= 3}
-        return self
-
-    @staticmethod
-    def _last_piece(text: str) -> str:
-        line = text.rstrip().rpartition("\n")[2]
-        body = _ELLIPSIS.sub("", line)
-        cut = max((m.end() for m in re.finditer(r"[.!?…]\s+", body)), default=0)
-        return line[cut:]
-
-    def formulaic(self, text: str) -> bool:
-        """Whether the text ends with a last line or a trailing phrase that many texts share."""
-        piece = self._last_piece(text)
-        if piece in self.formulas:
-            return True
-        return any(piece.endswith(" " + f) for f in self.formulas if _ELLIPSIS.search(f))
-
-    def _ends(self, row: list[str]) -> float:
-        for n in range(ORDER - 1, -1, -1):
-            count = self.grams[n].get(tuple(row[-n - 1 :])) if len(row) > n else None
-            if n and row[-1][0].isupper() and (not count or count[1] < 3):
-                count = self.grams[n].get((*row[-n - 1 : -1], "Aa")) if len(row) > n else None
-            if count and count[1] >= (3 if n else 1):
-                return (count[0] + 0.02) / (count[1] + 0.5)
-        return 0.05
-
-    def whole(self, text: str) -> float:
-        """Probability that a text ends with a whole sentence, whatever stands after its last word aside."""
-        line = _last_tokens(text)
-        word = line[-1]
-        row = [shape(w, self.known) for w in line[-ORDER:]]
-        if not word[0].isalnum():
-            return self._ends(row)
-        if word.isdigit():
-            return self._ends(row)
-        choices = self.next_words.get(tuple(row[-3:-1])) or self.next_words.get((row[-2],)) or {}
-        longer = sum(n for w, n in choices.items() if w.startswith(word) and len(w) > len(word))
-        if longer >= max(3, 3 * choices.get(word, 0)):
-            return 0.02
-        if word in self.known:
-            return self._ends(row)
-        meant = [w for w, n in choices.items() if n >= 3 and abs(len(w) - len(word)) <= 1 and _one_slip(word, w)]
-        if meant:
-            return self._ends([*row[:-1], max(meant, key=choices.get)])
-        ratio = 0.02 if len(word) < 4 else 0.1
-        for width in (5, 4, 3):
-            count = self.suffixes.get(word.lower()[-width:]) if len(word) > width else None
-            if count and count[1] >= 8:
-                ratio = (count[0] + 0.01) / (count[1] + 0.1)
-                break
-        return self._ends(row) * ratio / (ratio + INSIDE * (1.0 - ratio))
-
-
-def _one_slip(a: str, b: str) -> bool:
-    """Whether two words differ by one letter changed, added, lost or swapped with its neighbour."""
-    if a == b:
-        return True
-    k = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-    if len(a) == len(b):
-        return a[k + 1 :] == b[k + 1 :] or (a[k : k + 2] == b[k : k + 2][::-1] and a[k + 2 :] == b[k + 2 :])
-    return a[k + 1 :] == b[k:] if len(a) > len(b) else a[k:] == b[k + 1 :]
-
-
-def judge(model: EndingModel, whole_text: str) -> tuple[str, float]:
+def judge(model: EndingModel, text: str) -> tuple[str, float]:
+    """How a text ends, and the probability that the ending is whole."""
+    kind, asked = ending(model, text)
+    return kind, model.whole(asked) if asked else float(kind != "lost")
+
+
+def ending(model: EndingModel, whole_text: str) -> tuple[str, str | None]:
     """How a text ends: 'lost' (bytes of the last character are gone), 'stopped' (by a full stop or the like), 'closed' (by something that
-    ends texts on purpose), 'marked' (broken off and marked so), 'open' (by neither); and the probability that the ending is whole."""
+    ends texts on purpose), 'marked' (broken off and marked so), 'open' (by neither); and the text whose last words say whether the ending
+    is whole, where that is in question. Of the model only the closing formulas count."""
     text = whole_text.rstrip()
     marked = False
     for _ in range(4):
@@ -209,20 +70,20 @@ def judge(model: EndingModel, whole_text: str) -> tuple[str, float]:
         if text == was:
             break
     if text.endswith("�"):
-        return "lost", 0.0
+        return "lost", None
     if not text:
-        return "closed", 1.0
+        return "closed", None
     if model.formulaic(text):
-        return "closed", 1.0
-    if _ELLIPSIS.search(text):
-        attached = _ELLIPSIS.sub("", text)
-        return "marked", model.whole(attached) if attached else 1.0
+        return "closed", None
+    if ELLIPSIS.search(text):
+        attached = ELLIPSIS.sub("", text)
+        return "marked", attached or None
     if _STOPPED.search(text):
-        return "stopped", 1.0
+        return "stopped", None
     last = text.rpartition("\n")[2]
     if _LINK.search(text) or last.strip() == "```" or unicodedata.category(text[-1]) in ("So", "Sk") or _NUMBERED.match(last):
-        return "closed", 1.0
-    return ("marked" if marked else "open"), model.whole(text)
+        return "closed", None
+    return ("marked" if marked else "open"), text
 
 
 def _balanced(text: str, closing: str) -> bool:
@@ -270,19 +131,6 @@ def _poisson_tail(n: int, mean: float) -> float:
     return total
 
 
-def fit_endings(docs: DataFrame, key: str, text: str, rows: int) -> EndingModel:
-    """The model of endings, fitted in one task on about SAMPLE_TEXTS texts drawn by a hash of their keys; only those are moved to it."""
-    share = min(1.0, SAMPLE_TEXTS / max(1, rows))
-    drawn = docs.where((F.pmod(F.xxhash64(key), F.lit(1 << 40)) < int(share * (1 << 40))) & (F.length(text) <= SAMPLE_CHARS) & (F.length(text) > 0)).select(F.col(text).alias("text"))
-
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = EndingModel.fit([t for b in batches for t in b.column(0).to_pylist()])
-        yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(model)]})
-
-    found = drawn.repartition(1).mapInArrow(fit, "model binary").collect()
-    return pickle.loads(bytes(found[0]["model"])) if found else EndingModel()
-
-
 def closing_formulas(docs: DataFrame, text: str, pieces: DataFrame, rows: int) -> set[str]:
     """Last lines that many texts end with on purpose: shared ones that other lines or sentences don't begin with.
 
@@ -336,17 +184,20 @@ def truncation(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
     lengths = materialize(pieces.groupBy("_source", "_n").agg(F.count("*").alias("_rows")), "lengths")
     rows = lengths.agg(F.sum("_rows")).first()[0] or 0
     limits = materialize(length_limits(lengths, "_source", "_n", "_rows"), "limits")
-    fitted = fit_endings(there, "_key", "_text", rows)
+    fitted = EndingModel()
     fitted.formulas = closing_formulas(there, "_text", pieces, rows)
     model = there.sparkSession.sparkContext.broadcast(fitted)
 
     def endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [judge(model.value, t) for t in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["_key", "_source", "_n", "ending", "p_whole"])
+            found = [ending(model.value, t) for t in batch.column(3).to_pylist()]
+            tails = [" ".join(last_tokens(asked)[-ORDER:]) if asked else None for _, asked in found]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([f[0] for f in found], pa.string()), pa.array(tails, pa.string())], names=["_key", "_source", "_n", "ending", "tail"])
 
     kind = there.schema["_key"].dataType.simpleString()
-    ends = materialize(there.mapInArrow(endings, f"_key {kind}, _source string, _n int, ending string, p_whole double"), "endings")
+    ends = materialize(there.mapInArrow(endings, f"_key {kind}, _source string, _n int, ending string, tail string"), "endings")
+    p_whole = whole_endings(there.select("_text"), ends.where("tail IS NOT NULL").select("tail").distinct())
+    ends = ends.join(p_whole, "tail", "left").withColumn("p_whole", F.coalesce("p", (F.col("ending") != "lost").cast("double"))).drop("tail", "p")
     unclosed = F.col("ending").isin("open", "marked", "lost")
     open_share = ends.groupBy(F.col("_source").alias("_s"), F.col("_n").alias("_l")).agg(F.avg(unclosed.cast("int")).alias("_open"))
     limits = limits.join(open_share, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_n") == F.col("_l"))).where(F.col("_open") >= LEAST_OPEN).drop("_s", "_l")
