@@ -34,6 +34,8 @@ GROUP_CHARS, MOST_PIECES, SIEVE_BITS = 2_000_000, 1 << 20, 1 << 26
 _TOKEN = re.compile(r"\n|[^\W_]+(?:['’][^\W_]+)*|[.!?…。！？]+[\"'”’»)\]]*(?=\s|$)|[^\w\s]|_")
 _END = re.compile(r"[.!?…。！？]+[\"'”’»)\]]*$")
 ELLIPSIS = re.compile(r"\s*(?:\.{3,}|…)$")
+#: What an ELLIPSIS ends with: what to look for before a pattern runs over a whole text.
+DOTS = ("...", "…")
 #: The key of an n-gram is the sum of the hashes of its words, each times the power of its distance from the last.
 _POWERS = [pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(ORDER)]
 
@@ -125,7 +127,7 @@ class EndingModel:
     @staticmethod
     def _last_piece(text: str) -> str:
         line = text.rstrip().rpartition("\n")[2]
-        body = ELLIPSIS.sub("", line)
+        body = ELLIPSIS.sub("", line) if line.endswith(DOTS) else line
         cut = max((m.end() for m in re.finditer(r"[.!?…]\s+", body)), default=0)
         return line[cut:]
 
@@ -134,7 +136,7 @@ class EndingModel:
         piece = self._last_piece(text)
         if piece in self.formulas:
             return True
-        return any(piece.endswith(" " + f) for f in self.formulas if ELLIPSIS.search(f))
+        return piece.endswith(DOTS) and any(piece.endswith(" " + f) for f in self.formulas if ELLIPSIS.search(f))
 
     def _ends(self, row: list[str]) -> float:
         for n in range(ORDER - 1, -1, -1):
@@ -357,7 +359,7 @@ def ending_counts(docs: DataFrame, known, sieve) -> DataFrame:
         n, ends = np.bincount(ids[at], minlength=len(words.words)), np.bincount(ids[at[last]], minlength=len(words.words))
         own = words.hashes[words.shape_of]
         seen = np.flatnonzero((n > 0) & sieve.value.lets(own))
-        found = [(own[seen], ends[seen], n[seen])]
+        longer, ending = [], []
         # more words: what the sieve lets through is asked for with all words but the first, too
         asked = np.flatnonzero(sieve.value.lets(own)[ids[at]])
         named = np.flatnonzero(words.name[ids[at]])
@@ -368,8 +370,13 @@ def ending_counts(docs: DataFrame, known, sieve) -> DataFrame:
                 keys = keys + np.uint64(_POWERS[k]) * hashes[at[rows] - k]
                 let = sieve.value.lets(keys)
                 rows, keys = rows[let], keys[let]
-                found.append((keys, last[rows].astype(np.int64), np.ones(len(rows), np.int64)))
-        return _summed(found)
+                longer.append(keys)
+                ending.append(keys[last[rows]])
+        keys, many = np.unique(np.concatenate(longer), return_counts=True)
+        closed, of_those = np.unique(np.concatenate(ending), return_counts=True)
+        whole = np.zeros(len(keys), np.int64)
+        whole[np.searchsorted(keys, closed)] = of_those
+        return _summed([(own[seen], ends[seen], n[seen]), (keys, whole, many)])
 
     def told(words: Lexicon, keys: np.ndarray, ends: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ends), pa.array(n)], names=["key", "ends", "n"])

@@ -15,7 +15,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from memlattice.llm.endings import ELLIPSIS, ORDER, EndingModel, last_tokens, whole_endings
+from memlattice.llm.endings import DOTS, ELLIPSIS, ORDER, EndingModel, last_tokens, whole_endings
 from memlattice.runtime import materialize
 
 #: Lengths on either side that a length is held against, and the false discovery rate.
@@ -37,13 +37,13 @@ FORMULA_CHARS, FORMULA_SHARE = 40, 0.0004
 #: Below this probability of being a whole ending, a text that doesn't end at a limit counts as cut; one that is marked as broken off, below the other.
 WHOLE, WHOLE_MARKED = 0.3, 0.6
 
-_STOPPED = re.compile(r"[.!?。！？][\"'”’»)\]*_]*$")
+_STOPS, _AFTER_STOPS = tuple(".!?。！？"), "\"'”’»)]*_"
 _WRAPPED = re.compile(r"(?:</?[A-Za-z][\w-]*>|\"?\s*[}\]]+|\"\s*[,;]?)\s*$")
 _TRAILER = re.compile(r"\n\s*(?:-{2,}|={2,}|\*{3,}|_{3,})\s*\n?[^\n.!?]{0,60}$")
 _CUT_NOTE = re.compile(r"\s*[\[(<](?:\.{3}|…|\w+ )*(?:truncated|cut|snip|more|continued|gekürzt|suite|sigue)[^\])>]{0,30}[\])>]$", re.IGNORECASE)
 _LINK = re.compile(r"https?://\S+$")
 _BLANKS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
-_SENTENCE = re.compile(r"\n|(?<=[.!?…])\s+")
+_BETWEEN = re.compile(r"[.!?…](?:\n|\s+)|\n")
 _NUMBERED = re.compile(r"^\s*\d+[.)]\s+\S+$")
 
 
@@ -75,13 +75,13 @@ def ending(model: EndingModel, whole_text: str) -> tuple[str, str | None]:
         return "closed", None
     if model.formulaic(text):
         return "closed", None
-    if ELLIPSIS.search(text):
+    if text.endswith(DOTS):
         attached = ELLIPSIS.sub("", text)
         return "marked", attached or None
-    if _STOPPED.search(text):
+    if text.rstrip(_AFTER_STOPS).endswith(_STOPS):
         return "stopped", None
     last = text.rpartition("\n")[2]
-    if _LINK.search(text) or last.strip() == "```" or unicodedata.category(text[-1]) in ("So", "Sk") or _NUMBERED.match(last):
+    if _LINK.search(text.rsplit(None, 1)[-1]) or last.strip() == "```" or unicodedata.category(text[-1]) in ("So", "Sk") or _NUMBERED.match(last):
         return "closed", None
     return ("marked" if marked else "open"), text
 
@@ -131,6 +131,15 @@ def _poisson_tail(n: int, mean: float) -> float:
     return total
 
 
+def _sentences(text: str) -> Iterator[tuple[int, int]]:
+    """Where the lines and sentences of a text begin and end."""
+    begin = 0
+    for m in _BETWEEN.finditer(text):
+        yield begin, m.start() + (text[m.start()] != "\n")
+        begin = m.end()
+    yield begin, len(text)
+
+
 def closing_formulas(docs: DataFrame, text: str, pieces: DataFrame, rows: int) -> set[str]:
     """Last lines that many texts end with on purpose: shared ones that other lines or sentences don't begin with.
 
@@ -143,18 +152,22 @@ def closing_formulas(docs: DataFrame, text: str, pieces: DataFrame, rows: int) -
     counts = {r["piece"]: r["n"] for r in shared.collect()}
     if not counts:
         return set()
-    sizes = sorted({len(p) for p in counts})
+    sizes: dict[str, set[int]] = defaultdict(set)
+    for p in counts:
+        sizes[p[:3]].add(len(p))
+
+    heads = sorted({len(h) for h in sizes})
+    sizes = dict(sizes)
 
     def begun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
             for value in batch.column(0).to_pylist():
-                for sentence in _SENTENCE.split(value):
-                    for n in sizes:
-                        if n >= len(sentence):
-                            break
-                        if sentence[:n] in counts:
-                            seen[sentence[:n]] += 1
+                for begin, end in _sentences(value):
+                    for head in heads:
+                        for n in sizes.get(value[begin : begin + head], ()):
+                            if n < end - begin and value[begin : begin + n] in counts:
+                                seen[value[begin : begin + n]] += 1
         yield pa.RecordBatch.from_pydict({"piece": list(seen), "n": list(seen.values())}, schema=pa.schema([("piece", pa.string()), ("n", pa.int64())]))
 
     longer = {r["piece"]: r["n"] for r in docs.select(text).mapInArrow(begun, "piece string, n bigint").groupBy("piece").agg(F.sum("n").alias("n")).collect()}
