@@ -2,9 +2,10 @@
 
 Only counts that the endings in question ask for are kept: of words, of the
 words that follow a context, of word n-grams with their ends, and of the
-letters that words end in. Each is counted over all texts, whole, in a scan of
-its own whose sums are combined in the tasks; a sieve of bounded size keeps
-back what no ending asks for, and joins on the keys drop the rest.
+letters that words end in. Each is counted over all texts, whole. The texts are
+tokenised once and written as numbers of words; each count is a scan of these,
+whose sums are combined in the tasks. A sieve of bounded size keeps back what
+no ending asks for, and joins on the keys drop the rest.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +30,7 @@ KNOWN, KNOWN_SHARE = 12, 4e-6
 ORDER = 6
 #: How much rarer a cut inside the last word is than a whole sentence without a full stop that ends in the same letters.
 INSIDE = 0.05
-#: Characters whose tokens are counted at once (a longer text by itself), different pieces of text after which a task starts its numbering afresh, and bits of a sieve.
+#: Characters whose tokens are counted at once (a longer text by itself), different pieces of text or words after which a task starts its numbering afresh, and bits of a sieve.
 GROUP_CHARS, MOST_PIECES, SIEVE_BITS = 2_000_000, 1 << 20, 1 << 26
 
 _TOKEN = re.compile(r"\n|[^\W_]+(?:['’][^\W_]+)*|[.!?…。！？]+[\"'”’»)\]]*(?=\s|$)|[^\w\s]|_")
@@ -210,58 +212,131 @@ class Lexicon:
     def __init__(self, known: frozenset[str] = frozenset()) -> None:
         self.known = known
         self.pieces, self.words, self.shapes, self.contexts = _Numbers(), _Numbers(), _Numbers(), _Numbers()
-        self._tokens, self._first, self._many = (np.zeros(0, np.int64) for _ in range(3))
+        self._tokens, self._first, self._many = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         #: Of each word: the number of its shape, whether it ends a sentence, whether its shape is like a name's. Of each shape: its hash.
-        self.shape_of, self.ends, self.name = np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, bool)
+        self.shape_of, self.ends, self.name = np.zeros(0, np.int32), np.zeros(0, bool), np.zeros(0, bool)
         self.hashes = np.zeros(0, np.uint64)
 
     def full(self) -> bool:
-        return len(self.pieces) > MOST_PIECES
+        return max(len(self.pieces), len(self.words)) > MOST_PIECES
 
-    def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def read(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The words of all texts in a row, each text between two line breaks; how many words of its text stand before each, and how many after it."""
-        pieces: list[str] = []
-        sizes = []
-        for text in texts:
-            before = len(pieces)
-            pieces.append("\n")
-            pieces += text.replace("\n", " \n ").split(" ")
-            pieces.append("\n")
-            sizes.append(len(pieces) - before)
-        row = np.fromiter(map(self.pieces.__getitem__, pieces), np.int64, len(pieces))
+        ids, lengths = self.numbers(texts)
         self._learn()
+        return ids, *_places(lengths)
+
+    def numbers(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The words of all texts in a row, each text between two line breaks, and how many there are of each text."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " \n "), " ")
+        found = split.flatten().dictionary_encode()
+        line_break = self.pieces["\n"]
+        numbers = np.fromiter(map(self.pieces.__getitem__, found.dictionary.to_pylist()), np.int32, len(found.dictionary))
+        self._tokenise()
+        sizes = np.diff(split.offsets.to_numpy()) + 2
+        first = np.cumsum(sizes) - sizes
+        inner = np.ones(sizes.sum(), bool)
+        inner[first] = inner[first + sizes - 1] = False
+        row = np.full(len(inner), line_break, np.int32)
+        row[inner] = numbers[found.indices.to_numpy()]
         many = self._many[row]
         ids = self._tokens[np.repeat(self._first[row] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
-        lengths = np.add.reduceat(many, np.cumsum(sizes) - sizes)
-        place = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        return ids, place, np.repeat(lengths, lengths) - 1 - place
+        return ids, np.add.reduceat(many, first)
 
-    def _learn(self) -> None:
+    def reread(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What read() makes of the texts that numbered() has these words, numbers and lengths of."""
+        numbers = np.fromiter(map(self.words.__getitem__, words), np.int32, len(words))
+        self._learn()
+        return numbers[ids], *_places(lengths)
+
+    def _tokenise(self) -> None:
         found = [_TOKEN.findall(p) for p in self.pieces.new]
         self.pieces.new = []
         many = np.array([len(f) for f in found], np.int64)
         self._first = np.concatenate([self._first, len(self._tokens) + np.cumsum(many) - many])
         self._many = np.concatenate([self._many, many])
-        self._tokens = np.concatenate([self._tokens, np.array([self.words[w] for f in found for w in f], np.int64)])
+        self._tokens = np.concatenate([self._tokens, np.array([self.words[w] for f in found for w in f], np.int32)])
+
+    def _learn(self) -> None:
         new, self.words.new = self.words.new, []
         stands = [shape(w, self.known) for w in new]
-        self.shape_of = np.concatenate([self.shape_of, np.array([self.shapes[s] for s in stands], np.int64)])
+        self.shape_of = np.concatenate([self.shape_of, np.array([self.shapes[s] for s in stands], np.int32)])
         self.ends = np.concatenate([self.ends, np.array([w == "\n" or bool(_END.match(w)) for w in new], bool)])
         self.name = np.concatenate([self.name, np.array([s[0].isupper() for s in stands], bool)])
         self.hashes, self.shapes.new = np.concatenate([self.hashes, _hashes(self.shapes.new)]), []
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[str]]:
+def _places(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each word of texts with so many words, how many of its text stand before it, and how many after it."""
+    lengths = lengths.astype(np.int32)
+    place = np.arange(lengths.sum(), dtype=np.int32) - np.repeat((np.cumsum(lengths) - lengths).astype(np.int32), lengths)
+    return place, np.repeat(lengths, lengths) - 1 - place
+
+
+def _groups(batch: pa.RecordBatch) -> Iterator[pa.Array]:
+    texts = batch.column(0)
+    begin = chars = 0
+    for k, n in enumerate(pc.utf8_length(texts).to_pylist()):
+        if k > begin and chars + n > GROUP_CHARS:
+            yield texts.slice(begin, k - begin)
+            begin, chars = k, 0
+        chars += n
+    if begin < len(texts):
+        yield texts.slice(begin)
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """words, n, wide, ids, lengths: the words of groups of texts, and in ids the number of each word in a row (of two bytes, or of four if wide) with the words of each text in lengths.
+
+    docs has the texts in its one column; every text counts as between two line
+    breaks. Rows without ids have all words of a task, or of as much as a
+    lexicon holds, and how often each was met.
+    """
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, met = Lexicon(), np.zeros(0, np.int64)
+        for batch in batches:
+            for texts in _groups(batch):
+                ids, lengths = words.numbers(texts)
+                n = np.bincount(ids, minlength=len(words.words))
+                here = np.flatnonzero(n)
+                place = np.zeros(len(n), np.int32)
+                place[here] = np.arange(len(here))
+                wide = len(here) > 1 << 16
+                yield row(words, here, None, wide, place.astype(np.uint32 if wide else np.uint16)[ids], lengths.astype(np.int32))
+                n[: len(met)] += met
+                met = n
+                if words.full():
+                    yield row(words, np.arange(len(met)), met, None, None, None)
+                    words, met = Lexicon(), np.zeros(0, np.int64)
+        if len(met):
+            yield row(words, np.arange(len(met)), met, None, None, None)
+
+    def row(words: Lexicon, which: np.ndarray, n: np.ndarray | None, wide: bool | None, ids: np.ndarray | None, lengths: np.ndarray | None) -> pa.RecordBatch:
+        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+        counts = pa.nulls(1, pa.list_(pa.int64())) if n is None else one(pa.array(n, pa.int64()))
+        ids, lengths = (pa.array([None if x is None else x.tobytes()], pa.binary()) for x in (ids, lengths))
+        return pa.RecordBatch.from_arrays([one(_strings(words.words, which)), counts, pa.array([wide], pa.bool_()), ids, lengths], names=["words", "n", "wide", "ids", "lengths"])
+
+    return docs.mapInArrow(number, "words array<string>, n array<bigint>, wide boolean, ids binary, lengths binary")
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """word, n for numbered texts."""
+    return texts.where("ids IS NULL").select(F.inline(F.arrays_zip(F.col("words").alias("word"), "n"))).groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[Callable[[Lexicon], tuple[np.ndarray, ...]]]:
+    """For each group of texts, plain or numbered, what reads it with a lexicon."""
     for batch in batches:
-        group, chars = [], 0
-        for text in batch.column(0).to_pylist():
-            if group and chars + len(text) > GROUP_CHARS:
-                yield group
-                group, chars = [], 0
-            group.append(text)
-            chars += len(text)
-        if group:
-            yield group
+        if batch.num_columns == 1:
+            for texts in _groups(batch):
+                yield lambda words, texts=texts: words.read(texts)
+            continue
+        for words_, wide, ids, lengths in zip(*batch.columns, strict=True):
+            numbers = np.frombuffer(ids.as_buffer(), np.uint32 if wide.as_py() else np.uint16)
+            yield lambda words, of=words_.as_py(), ids=numbers, lengths=np.frombuffer(lengths.as_buffer(), np.int32): words.reread(of, ids, lengths)
 
 
 def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
@@ -273,8 +348,8 @@ def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
 def _counted(batches: Iterator[pa.RecordBatch], known: frozenset[str], count: Callable, told: Callable) -> Iterator[pa.RecordBatch]:
     """What told makes of the sums of what count finds in each group of texts: of a whole task, or of as much as a lexicon holds."""
     words, parts = Lexicon(known), []
-    for texts in _groups(batches):
-        parts.append(count(words, *words.read(texts)))
+    for read in _read(batches):
+        parts.append(count(words, *read(words)))
         if sum(len(p[0]) for p in parts[1:]) > max(MOST_PIECES, len(parts[0][0])):
             parts = [_summed(parts)]
         if words.full():
@@ -288,19 +363,6 @@ def _strings(words: _Numbers, ids: np.ndarray) -> pa.Array:
     return pa.array(list(words), pa.string()).take(pa.array(ids))
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word, n for the one text column of docs; every text counts as between two line breaks."""
-
-    def count(words: Lexicon, ids: np.ndarray, *_) -> tuple[np.ndarray, ...]:
-        n = np.bincount(ids)
-        return np.flatnonzero(n), n[n > 0]
-
-    def told(words: Lexicon, ids: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([_strings(words.words, ids), pa.array(n)], names=["word", "n"])
-
-    return docs.mapInArrow(lambda b: _counted(b, frozenset(), count, told), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-
-
 class Sieve:
     """A bit for each of up to SIEVE_BITS classes of keys: which classes a table has keys of."""
 
@@ -315,12 +377,16 @@ class Sieve:
         return (self.bits[((keys & np.uint64(self.mask)) >> np.uint64(6)).astype(np.int64)] >> (keys & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
+def _groups_of(texts: DataFrame) -> DataFrame:
+    return texts.where("ids IS NOT NULL").select("words", "wide", "ids", "lengths")
+
+
 def _asked_about(words: Lexicon, ids: np.ndarray, place: np.ndarray, left: np.ndarray) -> np.ndarray:
     """Where words stand that have something to teach; the end of a text is itself in question."""
     return np.flatnonzero((place > 0) & (left > 1) & ~words.ends[ids])
 
 
-def following_counts(docs: DataFrame, known, sieve) -> DataFrame:
+def following_counts(texts: DataFrame, known, sieve) -> DataFrame:
     """ctx, word, n: how often a word, or its shape, follows a context of one or two shapes that the sieve lets through."""
 
     def count(words: Lexicon, ids: np.ndarray, place: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -344,10 +410,10 @@ def following_counts(docs: DataFrame, known, sieve) -> DataFrame:
         contexts = np.array(list(words.contexts), np.uint64)[keys >> 32].view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(contexts), _strings(words.shapes, keys & 0xFFFFFFFF), pa.array(n)], names=["ctx", "word", "n"])
 
-    return docs.mapInArrow(lambda b: _counted(b, known.value, count, told), "ctx bigint, word string, n bigint").groupBy("ctx", "word").agg(F.sum("n").alias("n"))
+    return _groups_of(texts).mapInArrow(lambda b: _counted(b, known.value, count, told), "ctx bigint, word string, n bigint").groupBy("ctx", "word").agg(F.sum("n").alias("n"))
 
 
-def ending_counts(docs: DataFrame, known, sieve) -> DataFrame:
+def ending_counts(texts: DataFrame, known, sieve) -> DataFrame:
     """key, ends, n: how often an n-gram of shapes that the sieve lets through stands in the texts, and at the end of a sentence. What is like a name counts as any name besides."""
 
     def count(words: Lexicon, ids: np.ndarray, place: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -381,7 +447,7 @@ def ending_counts(docs: DataFrame, known, sieve) -> DataFrame:
     def told(words: Lexicon, keys: np.ndarray, ends: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ends), pa.array(n)], names=["key", "ends", "n"])
 
-    return docs.mapInArrow(lambda b: _counted(b, known.value, count, told), "key bigint, ends bigint, n bigint").groupBy("key").agg(F.sum("ends").alias("ends"), F.sum("n").alias("n"))
+    return _groups_of(texts).mapInArrow(lambda b: _counted(b, known.value, count, told), "key bigint, ends bigint, n bigint").groupBy("key").agg(F.sum("ends").alias("ends"), F.sum("n").alias("n"))
 
 
 def _suffix_counts(words: DataFrame) -> DataFrame:
@@ -440,7 +506,8 @@ def whole_endings(docs: DataFrame, tails: DataFrame) -> DataFrame:
     and a sieve.
     """
     spark = docs.sparkSession
-    words = materialize(word_counts(docs), "words")
+    texts = materialize(numbered(docs), "numbered")
+    words = materialize(word_counts(texts), "words")
     least = known_from(words.agg(F.sum("n")).first()[0] or 0)
     known = spark.sparkContext.broadcast(frozenset(r["word"] for r in words.where(F.col("n") >= least).select("word").collect()))
 
@@ -455,13 +522,17 @@ def whole_endings(docs: DataFrame, tails: DataFrame) -> DataFrame:
 
     asked = materialize(tails.mapInArrow(contexts, "tail string, asked string, known boolean, two bigint, one bigint"), "asked")
     wanted = asked.select(F.explode(F.array("two", "one")).alias("ctx")).where("ctx IS NOT NULL").distinct()
-    followed = materialize(following_counts(docs, known, spark.sparkContext.broadcast(Sieve(wanted, "ctx"))), "following")
+    followed = materialize(following_counts(texts, known, spark.sparkContext.broadcast(Sieve(wanted, "ctx"))), "following")
     there = followed.groupBy("ctx").agg(F.sum("n").alias("all"), F.max("n").alias("most")).where("all >= 3 AND most >= 2").select("ctx")
     chosen = asked.join(there.select(F.col("ctx").alias("two"), F.col("ctx").alias("_two")), "two", "left").join(there.select(F.col("ctx").alias("one"), F.col("ctx").alias("_one")), "one", "left")
     chosen = materialize(chosen.select("tail", "asked", "known", F.coalesce("_two", "_one").alias("ctx"), F.expr("IF(_two IS NULL, NULL, _one)").alias("wider")), "chosen")
     pairs = chosen.select(F.explode(F.array("ctx", "wider")).alias("ctx"), "asked").where("ctx IS NOT NULL").distinct()
     often = followed.where("n >= 2").join(pairs.select("ctx").distinct(), "ctx", "left_semi")
-    begun = often.where(F.length("word") > 1).select("ctx", F.explode(F.expr("transform(sequence(1, length(word) - 1), k -> substring(word, 1, k))")).alias("asked"), "n").groupBy("ctx", "asked").agg(F.sum("n").alias("longer"))
+    # of each word only beginnings that are as long as an asked one of the same context and first letter
+    first = F.substring("asked", 1, 1).alias("first")
+    reach = pairs.select("ctx", first, F.length("asked").alias("long")).groupBy("ctx", "first").agg(F.collect_set("long").alias("long"))
+    begins = often.where(F.length("word") > 1).withColumn("first", F.substring("word", 1, 1)).join(reach, ["ctx", "first"])
+    begun = begins.select("ctx", F.explode(F.expr("transform(filter(long, k -> k < length(word)), k -> substring(word, 1, k))")).alias("asked"), "n").groupBy("ctx", "asked").agg(F.sum("n").alias("longer"))
     meant = _slips(chosen.where("NOT known AND ctx IS NOT NULL").select("ctx", "asked").distinct(), often.where("n >= 3")).groupBy("ctx", "asked").agg(F.min_by("word", F.struct(-F.col("n"), "word")).alias("meant"))
     own = often.select("ctx", F.col("word").alias("asked"), F.col("n").alias("own"))
     choices = materialize(pairs.join(begun, ["ctx", "asked"], "left").join(own, ["ctx", "asked"], "left").join(meant, ["ctx", "asked"], "left").select("ctx", "asked", F.coalesce("longer", F.lit(0)).alias("longer"), F.coalesce("own", F.lit(0)).alias("own"), "meant"), "choices")
@@ -491,7 +562,7 @@ def whole_endings(docs: DataFrame, tails: DataFrame) -> DataFrame:
     plan = chosen.join(choices, ["ctx", "asked"], "left").join(wider, ["wider", "asked"], "left").select("tail", "asked", "known", F.coalesce(begins, F.lit(False)).alias("begins"), "meant")
     plan = materialize(plan.mapInArrow(questions, "tail string, fixed double, keys array<bigint>, suffixes array<string>, ratio double"), "questions")
     keys = plan.where("fixed IS NULL").select("tail", F.posexplode("keys").alias("place", "key"), (F.size("keys") - 1).alias("last"))
-    counts = materialize(ending_counts(docs, known, spark.sparkContext.broadcast(Sieve(keys.select("key").distinct(), "key"))), "grams")
+    counts = materialize(ending_counts(texts, known, spark.sparkContext.broadcast(Sieve(keys.select("key").distinct(), "key"))), "grams")
     # the longest n-gram that was met three times, or else the last word however often it was met
     told = keys.join(counts, "key").where("n >= IF(place = last, 1, 3)").groupBy("tail").agg(F.min_by(F.struct("ends", "n"), "place").alias("met"))
     letters = plan.where("fixed IS NULL").select("tail", F.posexplode("suffixes").alias("place", "suffix")).join(_suffix_counts(words).where("n >= 8"), "suffix")
@@ -500,6 +571,6 @@ def whole_endings(docs: DataFrame, tails: DataFrame) -> DataFrame:
     ratio = F.coalesce("by_letters", "ratio")
     found = plan.join(told, "tail", "left").join(letters, "tail", "left")
     found = materialize(found.select("tail", F.coalesce("fixed", F.when(F.col("ratio").isNull(), ends).otherwise(ends * ratio / (ratio + INSIDE * (1.0 - ratio)))).alias("p")), "p_whole")
-    for done in (words, asked, followed, chosen, choices, plan, counts):
+    for done in (texts, words, asked, followed, chosen, choices, plan, counts):
         release(done)
     return found

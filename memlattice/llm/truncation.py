@@ -16,7 +16,8 @@ import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -42,7 +43,7 @@ _WRAPPED = re.compile(r"(?:</?[A-Za-z][\w-]*>|\"?\s*[}\]]+|\"\s*[,;]?)\s*$")
 _TRAILER = re.compile(r"\n\s*(?:-{2,}|={2,}|\*{3,}|_{3,})\s*\n?[^\n.!?]{0,60}$")
 _CUT_NOTE = re.compile(r"\s*[\[(<](?:\.{3}|…|\w+ )*(?:truncated|cut|snip|more|continued|gekürzt|suite|sigue)[^\])>]{0,30}[\])>]$", re.IGNORECASE)
 _LINK = re.compile(r"https?://\S+$")
-_BLANKS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+_ENDS = ".!?…"
 _BETWEEN = re.compile(r"[.!?…](?:\n|\s+)|\n")
 _NUMBERED = re.compile(r"^\s*\d+[.)]\s+\S+$")
 
@@ -57,6 +58,13 @@ def ending(model: EndingModel, whole_text: str) -> tuple[str, str | None]:
     """How a text ends: 'lost' (bytes of the last character are gone), 'stopped' (by a full stop or the like), 'closed' (by something that
     ends texts on purpose), 'marked' (broken off and marked so), 'open' (by neither); and the text whose last words say whether the ending
     is whole, where that is in question. Of the model only the closing formulas count."""
+    text, marked = _bared(whole_text)
+    kind, asked = _told(text, marked)
+    return ("closed", None) if kind != "lost" and text and model.formulaic(text) else (kind, asked)
+
+
+def _bared(whole_text: str) -> tuple[str, bool]:
+    """A text without what was put after a break, and whether there was such."""
     text = whole_text.rstrip()
     marked = False
     for _ in range(4):
@@ -69,12 +77,15 @@ def ending(model: EndingModel, whole_text: str) -> tuple[str, str | None]:
                 text, marked = text[: m.start()].rstrip(), True
         if text == was:
             break
+    return text, marked
+
+
+def _told(text: str, marked: bool) -> tuple[str, str | None]:
+    """What ending() says of a bared text, closing formulas aside."""
     if text.endswith("�"):
         return "lost", None
     if not text:
         return "closed", None
-    if model.formulaic(text):
-        return "closed", None
     if text.endswith(DOTS):
         attached = ELLIPSIS.sub("", text)
         return "marked", attached or None
@@ -131,13 +142,39 @@ def _poisson_tail(n: int, mean: float) -> float:
     return total
 
 
-def _sentences(text: str) -> Iterator[tuple[int, int]]:
-    """Where the lines and sentences of a text begin and end."""
-    begin = 0
-    for m in _BETWEEN.finditer(text):
-        yield begin, m.start() + (text[m.start()] != "\n")
-        begin = m.end()
-    yield begin, len(text)
+def begun_with(pieces: set[str]) -> Callable[[str], Iterator[str]]:
+    """Finds of a text each of the pieces that a longer line or sentence of it begins with, as often as one does.
+
+    A line or sentence begins where the text does and after every _BETWEEN. The
+    pattern finds those before the first two characters of a piece, and inside
+    white space after the end of a sentence some that are none.
+    """
+    sizes: dict[str, set[int]] = defaultdict(set)
+    second: dict[str, set[str]] = defaultdict(set)
+    for p in pieces:
+        sizes[p[:3]].add(len(p))
+        second[p[0]].add(p[1:2])
+    heads, sizes = sorted({len(h) for h in sizes}), dict(sizes)
+    first = "|".join(re.escape(c) + ("" if "" in after else f"[{''.join(map(re.escape, sorted(after)))}]") for c, after in sorted(second.items()))
+    start = re.compile(rf"[{_ENDS}\n](?>(?<=\n)|\n|\s+)(?={first})")
+
+    def inside(text: str, begin: int) -> bool:
+        """Whether the line break before is part of the white space after the end of a sentence, which goes on."""
+        k = begin - 1
+        while k > 0 and text[k].isspace():
+            k -= 1
+        return text[begin - 1] == "\n" and text[k] in _ENDS and text[k + 1] != "\n" and text[begin].isspace()
+
+    def found(text: str) -> Iterator[str]:
+        for begin in (0, *(m.end() for m in start.finditer(text))):
+            for head in heads:
+                for n in sizes.get(text[begin : begin + head], ()):
+                    if text[begin : begin + n] in pieces and not (begin and inside(text, begin)):
+                        m = _BETWEEN.search(text, begin)
+                        if n < (m.start() + (text[m.start()] != "\n") if m else len(text)) - begin:
+                            yield text[begin : begin + n]
+
+    return found
 
 
 def closing_formulas(docs: DataFrame, text: str, pieces: DataFrame, rows: int) -> set[str]:
@@ -152,22 +189,14 @@ def closing_formulas(docs: DataFrame, text: str, pieces: DataFrame, rows: int) -
     counts = {r["piece"]: r["n"] for r in shared.collect()}
     if not counts:
         return set()
-    sizes: dict[str, set[int]] = defaultdict(set)
-    for p in counts:
-        sizes[p[:3]].add(len(p))
-
-    heads = sorted({len(h) for h in sizes})
-    sizes = dict(sizes)
+    wanted = set(counts)
 
     def begun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
+        find = begun_with(wanted)
         for batch in batches:
             for value in batch.column(0).to_pylist():
-                for begin, end in _sentences(value):
-                    for head in heads:
-                        for n in sizes.get(value[begin : begin + head], ()):
-                            if n < end - begin and value[begin : begin + n] in counts:
-                                seen[value[begin : begin + n]] += 1
+                seen.update(find(value))
         yield pa.RecordBatch.from_pydict({"piece": list(seen), "n": list(seen.values())}, schema=pa.schema([("piece", pa.string()), ("n", pa.int64())]))
 
     longer = {r["piece"]: r["n"] for r in docs.select(text).mapInArrow(begun, "piece string, n bigint").groupBy("piece").agg(F.sum("n").alias("n")).collect()}
@@ -187,28 +216,37 @@ def truncation(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
     """
     there = df.where(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(source).alias("_source"), F.length(text).alias("_n"), F.col(text).alias("_text"))
 
-    def last_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [EndingModel._last_piece(t) for t in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([p if len(p) <= FORMULA_CHARS else None for p in found], pa.string())], names=["_source", "_n", "h", "piece"])
-
-    line = F.substring_index(F.rtrim("_text", F.lit(_BLANKS)), "\n", -1)
-    pieces = materialize(there.select("_source", "_n", F.xxhash64("_text").alias("h"), line.alias("_line")).mapInArrow(last_pieces, "_source string, _n int, h bigint, piece string"), "pieces")
-    lengths = materialize(pieces.groupBy("_source", "_n").agg(F.count("*").alias("_rows")), "lengths")
-    rows = lengths.agg(F.sum("_rows")).first()[0] or 0
-    limits = materialize(length_limits(lengths, "_source", "_n", "_rows"), "limits")
-    fitted = EndingModel()
-    fitted.formulas = closing_formulas(there, "_text", pieces, rows)
-    model = there.sparkSession.sparkContext.broadcast(fitted)
-
     def endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [ending(model.value, t) for t in batch.column(3).to_pylist()]
-            tails = [" ".join(last_tokens(asked)[-ORDER:]) if asked else None for _, asked in found]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([f[0] for f in found], pa.string()), pa.array(tails, pa.string())], names=["_key", "_source", "_n", "ending", "tail"])
+            found = []
+            for whole_text in batch.column(4).to_pylist():
+                text, marked = _bared(whole_text)
+                kind, asked = _told(text, marked)
+                own = last = EndingModel._last_piece(whole_text)
+                if marked:
+                    last = EndingModel._last_piece(text)
+                if kind == "lost" or not text:
+                    last = None
+                elif len(last) > FORMULA_CHARS:  # of a formula behind other words there is a blank before
+                    last = last[-FORMULA_CHARS - 1 :] if last.endswith(DOTS) else None
+                found.append((own if len(own) <= FORMULA_CHARS else None, kind, " ".join(last_tokens(asked)[-ORDER:]) if asked else None, last))
+            columns = zip(*found, strict=True) if found else [()] * 4
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *(pa.array(c, pa.string()) for c in columns)], names=["_key", "_source", "_n", "h", "piece", "ending", "tail", "last"])
 
     kind = there.schema["_key"].dataType.simpleString()
-    ends = materialize(there.mapInArrow(endings, f"_key {kind}, _source string, _n int, ending string, tail string"), "endings")
+    hashed = there.select("_key", "_source", "_n", F.xxhash64("_text").alias("h"), "_text")
+    ends = materialize(hashed.mapInArrow(endings, f"_key {kind}, _source string, _n int, h bigint, piece string, ending string, tail string, last string"), "endings")
+    lengths = materialize(ends.groupBy("_source", "_n").agg(F.count("*").alias("_rows")), "lengths")
+    rows = lengths.agg(F.sum("_rows")).first()[0] or 0
+    limits = materialize(length_limits(lengths, "_source", "_n", "_rows"), "limits")
+    formulas = closing_formulas(there, "_text", ends.select("piece", "h"), rows)
+    trailing = [F.lit(" " + f) for f in sorted(formulas) if ELLIPSIS.search(f)]
+    formulaic = F.col("last").isin(*sorted(formulas))
+    if trailing:
+        dotted = reduce(lambda a, b: a | b, (F.col("last").endswith(d) for d in DOTS))
+        formulaic = formulaic | dotted & F.exists(F.array(*trailing), lambda f: F.endswith(F.col("last"), f))
+    formulaic = F.coalesce(formulaic, F.lit(False))
+    ends = ends.select("_key", "_source", "_n", F.when(formulaic, "closed").otherwise(F.col("ending")).alias("ending"), F.when(~formulaic, F.col("tail")).alias("tail"))
     p_whole = whole_endings(there.select("_text"), ends.where("tail IS NOT NULL").select("tail").distinct())
     ends = ends.join(p_whole, "tail", "left").withColumn("p_whole", F.coalesce("p", (F.col("ending") != "lost").cast("double"))).drop("tail", "p")
     unclosed = F.col("ending").isin("open", "marked", "lost")
