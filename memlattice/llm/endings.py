@@ -287,7 +287,7 @@ def _groups(batch: pa.RecordBatch) -> Iterator[pa.Array]:
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """words, n, wide, ids, lengths: the words of groups of texts, and in ids the number of each word in a row (of two bytes, or of four if wide) with the words of each text in lengths.
+    """words, n, wide, ids, lengths: the words of groups of texts with spaces between, and in ids the number of each word in a row (of two bytes, or of four if wide) with the words of each text in lengths.
 
     docs has the texts in its one column; every text counts as between two line
     breaks. Rows without ids have all words of a task, or of as much as a
@@ -314,17 +314,16 @@ def numbered(docs: DataFrame) -> DataFrame:
             yield row(words, np.arange(len(met)), met, None, None, None)
 
     def row(words: Lexicon, which: np.ndarray, n: np.ndarray | None, wide: bool | None, ids: np.ndarray | None, lengths: np.ndarray | None) -> pa.RecordBatch:
-        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-        counts = pa.nulls(1, pa.list_(pa.int64())) if n is None else one(pa.array(n, pa.int64()))
+        counts = pa.array([n], pa.list_(pa.int64()))
         ids, lengths = (pa.array([None if x is None else x.tobytes()], pa.binary()) for x in (ids, lengths))
-        return pa.RecordBatch.from_arrays([one(_strings(words.words, which)), counts, pa.array([wide], pa.bool_()), ids, lengths], names=["words", "n", "wide", "ids", "lengths"])
+        return pa.RecordBatch.from_arrays([pa.array([" ".join(_strings(words.words, which).to_pylist())], pa.string()), counts, pa.array([wide], pa.bool_()), ids, lengths], names=["words", "n", "wide", "ids", "lengths"])
 
-    return docs.mapInArrow(number, "words array<string>, n array<bigint>, wide boolean, ids binary, lengths binary")
+    return docs.mapInArrow(number, "words string, n array<bigint>, wide boolean, ids binary, lengths binary")
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """word, n for numbered texts."""
-    return texts.where("ids IS NULL").select(F.inline(F.arrays_zip(F.col("words").alias("word"), "n"))).groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.where("ids IS NULL").select(F.inline(F.arrays_zip(F.split("words", " ").alias("word"), "n"))).groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[Callable[[Lexicon], tuple[np.ndarray, ...]]]:
@@ -336,7 +335,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[Callable[[Lexicon], tup
             continue
         for words_, wide, ids, lengths in zip(*batch.columns, strict=True):
             numbers = np.frombuffer(ids.as_buffer(), np.uint32 if wide.as_py() else np.uint16)
-            yield lambda words, of=words_.as_py(), ids=numbers, lengths=np.frombuffer(lengths.as_buffer(), np.int32): words.reread(of, ids, lengths)
+            yield lambda words, of=words_.as_py().split(" "), ids=numbers, lengths=np.frombuffer(lengths.as_buffer(), np.int32): words.reread(of, ids, lengths)
 
 
 def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
